@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontaminate, licenses, mixing, shard, simhash
+from matchloom.llm import chat, decontaminate, licenses, mixing, shard, simhash, topk, toxicity
 from matchloom.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -24,8 +32,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.report(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op7_mixing, op8_shard, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_topk, op5_chat, op7_mixing, op8_shard, op9_toxicity, op10_licenses)}
