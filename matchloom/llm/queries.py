@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import chat, decontaminate, licenses, mixing, shard, simhash, topk, toxicity
+from matchloom.llm import chat, decontaminate, licenses, mixing, shard, simhash, suffix, topk, toxicity
 from matchloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(table(spark, sf_dir, "embeddings"))
 
@@ -40,4 +44,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_topk, op5_chat, op7_mixing, op8_shard, op9_toxicity, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_suffix, op4_topk, op5_chat, op7_mixing, op8_shard, op9_toxicity, op10_licenses)}
