@@ -42,6 +42,7 @@ RUN_BYTES = 8 << 20
 CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = 0xD6E8FEB86659FD93
+_SPREAD = 0xC2B2AE3D27D4EB4F
 _powers: list[np.ndarray] = []
 
 
@@ -87,7 +88,8 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tupl
     at = at[starts]
     turn = np.flatnonzero(at[1:] != at[:-1]) + 1
     first, last = np.concatenate(([0], turn)), np.append(turn, len(at)) - 1
-    return at[first], starts[first], starts[last], hashes[at[first]]
+    # Anchors have low hashes; mixed once more, they spread evenly over the parts.
+    return at[first], starts[first], starts[last], hashes[at[first]] * np.uint64(_SPREAD)
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
