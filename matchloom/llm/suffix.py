@@ -30,6 +30,7 @@ is bytes: cuts may fall inside a character.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,7 +237,7 @@ def _send(pdf: pd.DataFrame, answers: pd.DataFrame, length: int, gram: int, part
         rows = e.rows[s]
         common = _common(rows[:, :length])
         rest = rows[:, :length][np.arange(length) >= common[:, None]]  # front-coded: what is new in each suffix
-        out.append(b"".join(map(_bytes_of, (common, rest, rows[:, length:], low[s].astype(np.int64), (high != low)[s].astype(np.uint8)))))
+        out.append(zlib.compress(b"".join(map(_bytes_of, (common, rest, rows[:, length:], low[s].astype(np.int64), (high != low)[s].astype(np.uint8)))), 1))
     run = pdf["run"].iloc[0] if len(pdf) else 0
     counts = np.diff(e.cuts)[full]
     return pd.DataFrame({"part": full, "run": np.full(len(full), run), "n": counts, "blob": out})
@@ -338,7 +339,7 @@ def _merge_part(pdf: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
     before = length - gram
     pdf = pdf.sort_values("run", kind="stable")
     runs, commons, tails, lows, manys = [], [], [], [], []
-    for n, blob in zip(pdf["n"], pdf["blob"], strict=True):
+    for n, blob in zip(pdf["n"], map(zlib.decompress, pdf["blob"]), strict=True):
         common = np.frombuffer(blob, np.uint8, n)
         size = int(n * length - common.sum(dtype=np.int64))
         runs.append(_front_decoded(common.tolist(), blob[n : n + size], length))
