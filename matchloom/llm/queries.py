@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import chat, decontaminate, licenses, mixing, shard, simhash, suffix, topk, toxicity
+from matchloom.llm import chat, decontaminate, licenses, mixing, passages, shard, simhash, suffix, topk, toxicity
 from matchloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -44,4 +48,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_suffix, op4_topk, op5_chat, op7_mixing, op8_shard, op9_toxicity, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_suffix, op4_topk, op5_chat, op6_passages, op7_mixing, op8_shard, op9_toxicity, op10_licenses)}
