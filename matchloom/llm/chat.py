@@ -58,13 +58,12 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     while 1 << len(levels) <= n and not reach.where("to is not null").isEmpty():
         levels.append(reach.where("to is not null").select("id", "to"))
         above = reach.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("score").alias("above"), F.col("top").alias("above_top"))
-        ends = F.col("to").isNotNull() & F.col("next").isNull()
-        reach = written(reach.join(above, "to", "left").select(
-            "id", F.col("next").alias("to"),
-            (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"),
-            (F.col("score") + F.coalesce("above", F.lit(0.0))).alias("score"),
-            F.when(ends, F.coalesce("above_top", "to")).otherwise(F.col("top")).alias("top"),
-        ))
+        # Only messages that aren't at their root yet are joined: few, once the short trees are through.
+        further = reach.where("to is not null").join(above, "to").select(
+            "id", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"), (F.col("score") + F.col("above")).alias("score"),
+            F.when(F.col("next").isNull(), F.coalesce("above_top", "to")).alias("top"),
+        )
+        reach = written(reach.where("to is null").union(further))
     ended = reach.where("to is null").withColumn("root", F.coalesce("top", "id"))
     leaves = ended.join(up.select(F.col("to").alias("id")).distinct(), "id", "left_anti")
     if best is not None:
