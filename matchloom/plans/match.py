@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from matchloom.sources.providers import PACKAGES, with_embeddings
 from matchloom.sources.readers import entries
 
 FUZZY = ("rapidfuzz", "fuzzy")
+COUNTS = ("null_entries", "exact_matches", "processed_entries")
 
 
 @dataclass
@@ -30,7 +32,12 @@ class Run:
     info: dict[str, Any] = field(default_factory=dict)
 
     def metrics(self) -> dict[str, Any]:
-        return self.info | self.observed.get
+        """Needs the result to have been run. Without any row Spark observes nothing."""
+        try:
+            counts = self.observed.get
+        except Py4JJavaError:
+            counts = dict.fromkeys(COUNTS, 0)
+        return self.info | {k: counts.get(k) or 0 for k in COUNTS}
 
 
 def _scored(values: DataFrame, refs: DataFrame, backend: str, model: str, scorer: str) -> DataFrame:
@@ -113,6 +120,7 @@ def match_lists(spark: SparkSession, dirty: Sequence[Any], refs: Sequence[Any],
         options.setdefault("unmatched", "null")
     began = time.time()
     run = match_entities(entries(spark, dirty, "given_entity"), entries(spark, refs, "ref", "ref_id"), chosen, "" if fuzzy else model, threshold=None if fuzzy else threshold, method=model, label=backend, **options)
-    out = run.result.orderBy("row_id").drop("row_id").toPandas()
+    # Sorted here: a sort in Spark reads its input twice, and the counts with it.
+    out = run.result.toPandas().sort_values("row_id", ignore_index=True).drop(columns="row_id")
     out.attrs = run.metrics() | {"processing_time": time.time() - began}
     return out
