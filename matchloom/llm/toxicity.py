@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import written
+
 PER_CLASS, MAX_WORDS, MAX_PAIRS, FOLDS = 4000, 200_000, 400_000, 5
 #: What is taken off each count; which of them, the calibration documents tell. The larger, the more counts a word needs before the classes differ on it.
 DISCOUNTS = (0.75, 3.0, 8.0)
@@ -81,41 +83,51 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + self.slope * gain))))
 
 
-def build(pairs: pd.DataFrame, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS, discount: float = 3.0, z: float = 3.5) -> Model:
-    """pairs: (v, w, t, o): a word (empty at the start of a text), the next one, and in how many toxic and ordinary documents."""
-    total = pairs.groupby("w", sort=False)[["t", "o"]].sum()
-    total = total[(total["t"] + total["o"]) > 1]
-    total = total.assign(n=total["t"] + total["o"]).sort_values(["n"], ascending=False, kind="stable").head(max_words)
-    words = [b"", *(w for w in total.index if w != b"")]
-    index = pd.Series(np.arange(len(words)), index=pd.Index(words, dtype=object))
-    other = len(words)
-    v, w = (index.reindex(pairs[c]).fillna(other).to_numpy(np.int64) for c in ("v", "w"))
-    counts = {c: pairs[c].to_numpy(np.float64) for c in "to"}
+@dataclass
+class Counts:
+    """What the models are made of. A word's counts are of the pairs that it comes second in; `total` has the sums over all words."""
+
+    words: list[bytes]
+    after: dict[str, np.ndarray]  # t, o: pairs that the class has; any: pairs of both
+    total: dict[str, int]
+    single: dict[str, np.ndarray]  # t, o: pairs that the word comes first in and that one document has
+    v: np.ndarray  # pairs of two documents or more, by word number; the number of words for others
+    w: np.ndarray
+    t: np.ndarray
+    o: np.ndarray
+
+
+def build(n: Counts, max_pairs: int = MAX_PAIRS, discount: float = 3.0, z: float = 3.5) -> Model:
+    other = len(n.words)
     size = other + 1
-    # Continuation counts: in how many pairs a word comes second, by class and in both.
-    after = {c: np.bincount(w, counts[c] > 0, size) for c in "to"}
-    shared = np.bincount(w, minlength=size) + 1.0
+    pairs = {"t": n.t, "o": n.o}
+    shared = np.append(n.after["any"], max(n.total["any"] - n.after["any"].sum(), 0)) + 1.0
     shared /= shared.sum()
-    word, context, seen = {}, {}, {}
+    word, context, seen, after = {}, {}, {}, {}
     for c in "to":
-        pairs_c = max(after[c].sum(), 1.0)
-        left = max(np.minimum(after[c], discount).sum(), 1.0) / pairs_c
-        word[c] = np.maximum(after[c] - discount, 0) / pairs_c + left * shared
-        seen[c] = np.bincount(v, counts[c], size)
-        context[c] = np.where(seen[c] > 0, np.bincount(v, np.minimum(counts[c], discount), size) / np.maximum(seen[c], 1), 1.0)
-    for c in "to":  # what isn't in the vocabulary has no class
-        word[c][other], context[c][other] = 1.0, 1.0
-    often = np.flatnonzero((counts["t"] + counts["o"] > 1) & (v < other) & (w < other))
+        rare = max(n.total[c] - n.after[c].sum(), 0)
+        after[c] = np.append(n.after[c], rare).astype(np.float64)
+        every = max(float(n.total[c]), 1.0)
+        left = max(np.minimum(n.after[c], discount).sum() + rare * min(1.0, discount), 1.0) / every
+        word[c] = np.maximum(after[c] - discount, 0) / every + left * shared
+        single = np.append(n.single[c], 0)
+        seen[c] = single + np.bincount(n.v, pairs[c], size)
+        held = single * min(1.0, discount) + np.bincount(n.v, np.minimum(pairs[c], discount), size)
+        context[c] = np.where(seen[c] > 0, held / np.maximum(seen[c], 1), 1.0)
+        word[c][other], context[c][other] = 1.0, 1.0  # what isn't in the vocabulary has no class
+    often = np.flatnonzero((n.v < other) & (n.w < other))
     if len(often) > max_pairs:
-        often = often[np.argsort(-(counts["t"] + counts["o"])[often], kind="stable")[:max_pairs]]
+        often = often[np.argsort(-(n.t + n.o)[often], kind="stable")[:max_pairs]]
+    v, w = n.v[often], n.w[often]
     back = _pooled(np.log(word["t"] / word["o"]), after["t"], after["o"], discount, z)
-    hits = {c: counts[c][often] for c in "to"}
-    p = {c: np.maximum(hits[c] - discount, 0) / np.maximum(seen[c][v[often]], 1) + context[c][v[often]] * word[c][w[often]] for c in "to"}
+    back[other] = 0.0
+    hits = {c: pairs[c][often].astype(np.float64) for c in "to"}
+    p = {c: np.maximum(hits[c] - discount, 0) / np.maximum(seen[c][v], 1) + context[c][v] * word[c][w] for c in "to"}
     pair = _pooled(np.log(p["t"] / p["o"]), hits["t"], hits["o"], discount, z)
-    pair = np.where(pair == 0, back[w[often]], pair)  # a pair without a difference of its own backs off
-    keys = v[often] * size + w[often]
+    told = np.flatnonzero(pair)  # a pair without a difference of its own backs off, and need not be kept
+    keys = v[told] * size + w[told]
     order = np.argsort(keys, kind="stable")
-    return Model(words, back, keys[order], pair[order])
+    return Model(n.words, back, keys[order], pair[told][order])
 
 
 def _pooled(gain: np.ndarray, t: np.ndarray, o: np.ndarray, discount: float, z: float, least: float = 0.7) -> np.ndarray:
@@ -172,8 +184,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
                     yield pd.DataFrame({"v": [p[0] for p in c], "w": [p[1] for p in c], "t": [n * y for n in c.values()], "o": [n * (1 - y) for n in c.values()]})
 
     pairs = texts.where(fit).mapInPandas(count, "v binary, w binary, t bigint, o bigint").groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    counted = _collected(pairs)
-    models = [build(counted, max_words, max_pairs, d, z) for d in DISCOUNTS for z in ERRORS]
+    counts = _collected(written(pairs), max_words, max_pairs)
+    models = [build(counts, max_pairs, d, z) for d in DISCOUNTS for z in ERRORS]
     sent = spark.sparkContext.broadcast(models)
 
     def gains(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,14 +204,24 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     return models[int(np.argmin(losses))]
 
 
-def _collected(pairs: DataFrame) -> pd.DataFrame:
-    table = pairs.toArrow()  # bounded by the words of the sample
-    cols = {c: table.column(c).to_pylist() for c in ("v", "w")}
-    return pd.DataFrame({"v": pd.Series([bytes(x) for x in cols["v"]], dtype=object), "w": pd.Series([bytes(x) for x in cols["w"]], dtype=object), "t": table.column("t").to_numpy(), "o": table.column("o").to_numpy()})
+def _collected(pairs: DataFrame, max_words: int, max_pairs: int) -> Counts:
+    """Sums by word, and the pairs of two documents or more: at most max_words and max_pairs rows come to the driver."""
+    some = lambda c: F.count_if(F.col(c) > 0).alias(c)
+    total = pairs.agg(some("t"), some("o"), F.count("*").alias("any")).first().asDict()
+    second = pairs.groupBy(F.col("w").alias("x")).agg(some("t"), some("o"), F.count("*").alias("any"), F.sum(F.col("t") + F.col("o")).alias("n"))
+    first = pairs.where("t + o = 1").groupBy(F.col("v").alias("x")).agg(F.sum("t").alias("single_t"), F.sum("o").alias("single_o"))
+    by_word = second.where("n > 1").orderBy(F.desc("n"), "x").limit(max_words).join(first, "x", "left").fillna(0).toArrow()
+    words = by_word.column("x").to_pylist()
+    after = {c: by_word.column(c).to_numpy() for c in ("t", "o", "any")}
+    single = {c: by_word.column(f"single_{c}").to_numpy() for c in "to"}
+    index = {w: i for i, w in enumerate(words)}
+    twice = pairs.where("t + o > 1").orderBy(F.desc(F.col("t") + F.col("o")), "v", "w").limit(max_pairs).toArrow()
+    v, w = (np.fromiter((index.get(x, len(words)) for x in twice.column(c).to_pylist()), np.int64, twice.num_rows) for c in ("v", "w"))
+    return Counts(words, after, total, single, v, w, twice.column("t").to_numpy(), twice.column("o").to_numpy())
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with toxic_score (0 to 1)."""
+    """(row, toxic_score): the document as a struct, and its score from 0 to 1."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(train(spark, docs, labels, id_col, text_col, **options))
 
@@ -209,14 +231,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for s in texts:
             yield pd.Series([model.score(model.gain(t)) for t in s], dtype="float64")
 
-    return docs.withColumn("toxic_score", scored(F.col(text_col)))
+    return docs.select(F.struct("*").alias("row"), scored(F.col(text_col)).alias("toxic_score"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The documents that score less than the threshold."""
-    return score(docs, labels, **options).where(F.col("toxic_score") < threshold).select(*docs.columns)
+    return score(docs, labels, **options).where(F.col("toxic_score") < threshold).select("row.*")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = score(docs, labels)
-    return found.select("doc_id", F.coalesce(_held_out("doc_id", FOLDS), F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("row.doc_id", F.coalesce(_held_out("row.doc_id", FOLDS), F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
