@@ -63,7 +63,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 8, id_col: str
     grams = F.broadcast(grams) if small else grams
     # The hash alone is the join's key; the words are compared for what it finds.
     hits = rows.join(grams, (rows["h"] == grams["h"]) & (F.col("pos") > 0), "left")
-    hits = hits.where((F.col("pos") == 0) | (F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("gram")))
+    # Beyond a text's end there are nulls, which hashes pass over: lengths must agree too.
+    hits = hits.where((F.col("pos") == 0) | (F.col("n") == F.col("len")) & (F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("gram")))
     span = F.struct((F.col("pos") - 1).alias("s"), (F.col("pos") - 1 + F.col("n")).alias("e"))
     hits = hits.select("rid", "doc", (F.size("words") - 1).cast("long").alias("n_words"), F.when(F.col("pos") > 0, span).alias("span"), "items")
     out = hits.groupBy("rid", "doc", "n_words").agg(F.array_sort(F.collect_set("span")).alias("windows"), F.collect_set("items").alias("items"))
