@@ -166,9 +166,11 @@ def _copies(limit: int) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """The documents of the mix: each as often as it has copies."""
     rows = written(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("h")))
-    params = written(plan(rows, weights, share, limit)).withColumnRenamed("source", "__source")
-    drawn = docs.join(params, docs[source_col].eqNullSafe(params["__source"])).withColumns({"size": word_count(F.col(text_col)), "h": _hash(id_col, text_col)})
-    return drawn.withColumn("__copies", _copies(limit)).where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    params = written(plan(rows, weights, share, limit)).withColumnRenamed("source", "__of")
+    # The document's own columns stay in a struct, whatever their names.
+    drawn = docs.select(F.struct("*").alias("__row"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("h"))
+    drawn = drawn.join(params, F.col("__source").eqNullSafe(F.col("__of"))).select("__row", _copies(limit).alias("copies")).where("copies > 0")
+    return drawn.select("__row", F.explode(F.sequence(F.lit(1), "copies"))).select("__row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -71,6 +71,7 @@ def report(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with `shard` and `slot`. They are written down with a row number, so that both sides of the join mean the same row by it."""
-    docs = written(docs.withColumn("__tie", F.monotonically_increasing_id()))
-    places = assign(docs, shards, id_col, text_col, tie="__tie").select(F.col("tie").alias("__tie"), "shard", "slot")
-    return docs.join(places, "__tie").drop("__tie")
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    docs = written(docs.select(F.struct("*").alias("__row"), F.monotonically_increasing_id().alias("__tie")))
+    places = assign(docs, shards, f"__row.`{id_col}`", f"__row.`{text_col}`", tie="__tie").select(F.col("tie").alias("__tie"), "shard", "slot")
+    return docs.join(places, "__tie").select(*(F.col(f"__row.`{c}`") for c in columns), "shard", "slot")
