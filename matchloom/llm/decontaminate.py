@@ -60,13 +60,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 8, id_col: str
         rows = rows.withColumn("n", F.lit(lengths[0] if lengths else width))
     rows = rows.withColumn("h", _hash(F.col("words"), F.col("pos"), lengths or [width], F.col("n")))
     grams = grams.withColumn("h", _hash(F.col("gram"), F.lit(0), lengths or [width], F.col("len")))
-    grams = F.broadcast(grams) if small else grams
+    window, n_words = F.slice("words", F.col("pos") + 1, F.col("n")), (F.size("words") - 1).cast("long").alias("n_words")
+    if small:
+        grams = F.broadcast(grams)
+    else:  # what is shuffled is each place's own window, never the text with it
+        rows = rows.select("rid", "doc", n_words, "pos", "n", "h", F.when(F.col("pos") > 0, window).alias("window"))
+        window, n_words = F.col("window"), F.col("n_words")
     # The hash alone is the join's key; the words are compared for what it finds.
     hits = rows.join(grams, (rows["h"] == grams["h"]) & (F.col("pos") > 0), "left")
     # Beyond a text's end there are nulls, which hashes pass over: lengths must agree too.
-    hits = hits.where((F.col("pos") == 0) | (F.col("n") == F.col("len")) & (F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("gram")))
+    hits = hits.where((F.col("pos") == 0) | (F.col("n") == F.col("len")) & (window == F.col("gram")))
     span = F.struct((F.col("pos") - 1).alias("s"), (F.col("pos") - 1 + F.col("n")).alias("e"))
-    hits = hits.select("rid", "doc", (F.size("words") - 1).cast("long").alias("n_words"), F.when(F.col("pos") > 0, span).alias("span"), "items")
+    hits = hits.select("rid", "doc", n_words, F.when(F.col("pos") > 0, span).alias("span"), "items")
     out = hits.groupBy("rid", "doc", "n_words").agg(F.array_sort(F.collect_set("span")).alias("windows"), F.collect_set("items").alias("items"))
     # Windows in order of start: each joins the last run, or begins one.
     empty = F.array().cast("array<struct<s:int,e:int>>")
