@@ -78,6 +78,31 @@ def top_references(values: DataFrame, refs: DataFrame, scorer: str = "ratio", li
     return ranked.select("value", "rank", "ref_id", "ref", "score")
 
 
+def best_by_scorer(values: DataFrame, refs: DataFrame, scorers: list[str], block: int = BLOCK) -> DataFrame:
+    """(value, scorer, ref_id, ref, score): the best reference by each scorer, from one pass over values and references."""
+    values = values.select("value").where(F.col("value").isNotNull()).distinct()
+    schema = "value string, scorer string, ref_id bigint, ref string, score double"
+    found = None
+    for rows in _blocks(refs.where(F.col("key").isNotNull()), ["ref", "key"], block):
+        some = [(r["ref_id"], r["ref"], r["key"]) for r in rows]
+
+        def run(batches: Iterable[pd.DataFrame], some=some) -> Iterator[pd.DataFrame]:
+            keys = [(i, key) for i, _, key in some]
+            for pdf in batches:
+                got = []
+                for name in scorers:
+                    score = lambda a, b, name=name: kernels.similarity(a, b, name)
+                    got += [(v, name, some[-i][0], some[-i][1], s) for v in pdf["value"] for s, i in _top(v, keys, score, 1, 0.0, False)]
+                yield pd.DataFrame(got, columns=["value", "scorer", "ref_id", "ref", "score"])
+
+        part = values.mapInPandas(run, schema)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return values.sparkSession.createDataFrame([], schema)
+    best = F.max_by(F.struct("ref_id", "ref", "score"), F.struct("score", -F.col("ref_id"))).alias("m")
+    return found.groupBy("value", "scorer").agg(best).select("value", "scorer", "m.ref_id", "m.ref", "m.score")
+
+
 def nearest(values: DataFrame, refs: DataFrame, scorer: str = "token_sort_ratio", block: int = BLOCK) -> DataFrame:
     """(value, ref, score): the best reference of each distinct value, whatever its score."""
     best = top_references(values, refs.withColumn("key", F.col("ref")), scorer, block=block)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import kernels
 from matchloom.functions.text import preprocess
-from matchloom.operators.nearest import top_references
+from matchloom.operators.nearest import best_by_scorer, top_references
 
 
 class FuzzyMatcher:
@@ -58,8 +58,9 @@ def fuzzy_baseline(dirty: DataFrame, refs: DataFrame, threshold: float = 70) ->
 
 def compare_algorithms(queries: DataFrame, candidates: DataFrame, preprocessor: str = "simple") -> DataFrame:
     """A row per distinct query: the best match and score of each algorithm."""
-    out = queries.select("query").where(F.col("query").isNotNull()).distinct()
-    for name in kernels.SCORERS:
-        best = FuzzyMatcher(name, preprocessor).top(out.select("query"), candidates, 1)
-        out = out.join(best.select("query", F.col("ref").alias(f"{name}_match"), F.col("score").alias(f"{name}_score")), "query", "left")
-    return out
+    keyed = queries.select("query", preprocess(F.col("query"), preprocessor).alias("value")).where(F.col("query").isNotNull()).distinct()
+    refs = candidates.where(F.col("ref").isNotNull()).withColumn("key", preprocess(F.col("ref"), preprocessor))
+    best = best_by_scorer(keyed, refs, list(kernels.SCORERS))
+    of = lambda name, c: F.max(F.when(F.col("scorer") == name, F.col(c)))
+    wide = [of(name, c).alias(f"{name}_{label}") for name in kernels.SCORERS for c, label in (("ref", "match"), ("score", "score"))]
+    return keyed.join(best.groupBy("value").agg(*wide), "value", "left").drop("value")

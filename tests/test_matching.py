@@ -136,6 +136,9 @@ def test_fuzzy_api(spark):
     assert base.fuzzy_prediction == "Chicago" and 0.7 <= base.fuzzy_similarity <= 1
     wide = compare_algorithms(queries, refs)
     assert len(wide.columns) == 11 and wide.count() == 3
+    for name in ("partial_ratio", "WRatio"):
+        one = {r["query"]: (r.ref, r.score) for r in FuzzyMatcher(name).top(queries, refs, 1).collect()}
+        assert {r["query"]: (r[f"{name}_match"], r[f"{name}_score"]) for r in wide.collect()} == one
     assert fuzzy_baseline(spark.createDataFrame([], "given_entity string"), refs).count() == 0
 
 
