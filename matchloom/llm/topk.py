@@ -8,7 +8,8 @@ Cauchy-Schwarz the rest of a score is at most the product of both rests'
 lengths. Only where that could reach a query's threshold are whole scores
 computed, in whole numbers. A query's threshold starts from the longest vectors
 of all and rises as blocks pass; a block whose greatest length can't reach any
-threshold ends the partition, as those after it are shorter.
+threshold ends its batch, which is sorted by length. Batches after it are still
+looked at: a read partition packs files of any lengths in any order.
 
 Queries go through in blocks of `query_block` rows, which are broadcast: that
 bounds the driver and the workers whatever the number of queries. A block adds
@@ -104,12 +105,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = BLOCK,
             least = floor.copy()
             got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for pdf in batches:
+                pdf = pdf.sort_values("len", ascending=False, kind="stable")  # a batch may run across files
                 for s in range(0, len(pdf), block):
                     part = pdf.iloc[s : s + block]
                     x, x_ids, x_len = _matrix(part["v"], dim), part["id"].to_numpy(), part["len"].to_numpy()
                     slack = 1e-9 * (1 + q_len * x_len[0])
                     if (q_len * x_len[0] + slack < least).all():
-                        break  # rows only get shorter
+                        break  # the batch's rows only get shorter
                     turned = x @ turn
                     rest = np.sqrt(np.maximum((turned[:, first:] ** 2).sum(axis=1), 0))
                     bound = q_head @ turned[:, :first].T + np.outer(q_rest, rest) + slack[:, None]
