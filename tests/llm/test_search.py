@@ -207,6 +207,15 @@ def test_passages_find_what_repeats(spark):
     assert passages.report(docs.limit(0)).count() == 0
 
 
+def test_passages_survive_lower_ids_that_quote_a_part(spark):
+    rnd = random.Random(6)
+    words = lambda n: [f"w{rnd.randrange(50000)}" for _ in range(n)]
+    passage = words(60)
+    texts = [words(60) + passage[:40] + words(60), words(60) + passage[-40:] + words(60), *(words(30 + i) + passage + words(30) for i in range(8))]
+    got = {r.doc_id: r.class_id for r in passages.report(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: 0, 1: 1} | {i: 2 for i in range(2, 10)}
+
+
 def test_compact_windows_hold_every_subsequence_once():
     rnd = np.random.default_rng(2)
     for _ in range(20):
