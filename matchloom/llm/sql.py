@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from matchloom.llm.license_templates import TEMPLATES
+
 _WORDS = r"""coalesce(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"""
 
 OP1 = f"""
@@ -51,4 +53,50 @@ SELECT conv_id, count(*) AS n_turns,
 FROM coded GROUP BY conv_id
 """
 
-SQL = {"op1_decontaminate": OP1, "op4_topk": OP4, "op5_chat": OP5}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# The phrases as the contract has them; the templates are the scan's own.
+_PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+_TEMPLATES = ", ".join(f"({i}, {_quoted(label)}, {str(i < len(_PHRASES)).lower()}, {_quoted(text)})" for i, (label, text) in enumerate([*_PHRASES, *TEMPLATES]))
+
+OP10 = f"""
+WITH templates AS (SELECT tid, label, phrase, {_WORDS.format("text")} AS w FROM (VALUES {_TEMPLATES}) AS t(tid, label, phrase, text)),
+grams AS (SELECT tid, label, phrase, len(w) - 2 AS n_grams, i - 1 AS tpos, w[i:i + 2] AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM templates)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("text")} AS w FROM documents),
+places AS (SELECT rid, i - 1 AS pos, w[i:i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM docs)),
+votes AS (
+  SELECT rid, tid, label, phrase, n_grams, pos - tpos AS diag, list(DISTINCT tpos) AS places, min(pos) AS first, max(pos) + 2 AS last
+  FROM places JOIN grams USING (gram) GROUP BY ALL
+),
+base AS (SELECT rid, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM votes WHERE phrase AND len(places) = n_grams GROUP BY rid),
+stepped AS (SELECT *, diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) AS step FROM votes WHERE NOT phrase),
+islands AS (SELECT *, sum(CASE WHEN step <= 4 THEN 0 ELSE 1 END) OVER (PARTITION BY rid, tid ORDER BY diag) AS island FROM stepped),
+merged AS (
+  SELECT rid, tid, label, n_grams, len(list_distinct(flatten(list(places)))) AS together, min(first) AS begin_, max(last) AS end_,
+    max({{'votes': len(places), 'before': -first, 'last': last}}) AS best
+  FROM islands GROUP BY rid, tid, label, n_grams, island
+),
+spans AS (
+  SELECT rid, tid, label, n_grams, CASE WHEN whole THEN together ELSE best.votes END AS votes, CASE WHEN whole THEN begin_ ELSE -best.before END AS first, CASE WHEN whole THEN end_ ELSE best.last END AS last
+  FROM (SELECT *, end_ - begin_ < 2 * (n_grams + 2) AS whole FROM merged)
+),
+shares AS (SELECT *, votes / n_grams AS coverage FROM spans),
+counted AS (SELECT * FROM shares WHERE coverage >= 0.7),
+kept AS (
+  SELECT * FROM counted s WHERE NOT EXISTS (
+    SELECT 1 FROM counted o WHERE o.rid = s.rid AND o.label <> s.label AND o.first <= s.last AND s.first <= o.last
+      AND (o.votes > s.votes OR (o.votes = s.votes AND (o.coverage > s.coverage OR (o.coverage = s.coverage AND o.tid < s.tid)))))
+),
+named AS (SELECT rid, label FROM kept UNION SELECT rid, label FROM votes WHERE phrase AND len(places) = n_grams),
+all_ AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM named GROUP BY rid),
+best AS (SELECT rid, max(coverage) AS nearest FROM shares GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(nearest, 0.0) END AS score
+FROM docs LEFT JOIN base USING (rid) LEFT JOIN all_ USING (rid) LEFT JOIN best USING (rid)
+"""
+
+SQL = {"op1_decontaminate": OP1, "op4_topk": OP4, "op5_chat": OP5, "op10_licenses": OP10}

@@ -77,11 +77,15 @@ def test_decontamination_modes_and_odd_rows(spark):
     assert decontaminate.report(docs, empty).where("n_hit > 0").count() == 0 and decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+#: By hand, not from the code.
+BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+
+
 def brute_base(texts):
     out = {}
     for d, t in enumerate(texts):
         w, found = words(t), []
-        for label, phrase in licenses.PHRASES.items():
+        for label, phrase in BASE.items():
             p = phrase.split()
             found += [(k, label) for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
         starts = [k for k, _ in found]
@@ -91,17 +95,51 @@ def brute_base(texts):
 
 def test_licenses(spark):
     grant = next(text for label, text in licenses.TEMPLATES if text.startswith("Permission is hereby"))
-    texts = [None, "", "Released under THE MIT LICENSE.", "apache-license, version 2 and the mit license the mit license", "CC BY NC cc by", "the mit", "x " * 3000 + grant.replace("restriction", "any restriction") + " y" * 300, "apache license version 3", "the  mit\nlicense"]
+    texts = [
+        None, "", "Released under THE MIT LICENSE.", "apache-license, version 2 and under the mit license under the mit license", "CC BY NC cc by", "the mit", "x " * 3000 + grant.replace("restriction", "any restriction") + " y" * 300,
+        "apache license version 3", "under the  mit\nlicense", "we do not use the MIT License here", "all rights reserved all rights reserved all rights reserved",
+    ]
     docs = documents(spark, texts, words=1, pos=2, votes=3, label=4, tid=5)
     got = {r.doc_id: r for r in licenses.report(docs).collect()}
     for d, want in brute_base(texts).items():
         r = got[d]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want, d
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    assert got[6].labels == "mit" and got[6].base_labels == ""
+    assert got[6].labels == "mit" and got[6].base_labels == "" and got[9].labels == got[10].labels == ""
     assert licenses.report(docs.limit(0)).count() == 0
     twice = docs.union(docs)
     assert licenses.report(twice).count() == 2 * len(texts)
+    named = docs.withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string")))
+    assert licenses.report(named).where("doc_id = 'id2'").first().labels == "mit"
+
+
+def test_one_member_of_a_family_of_licenses_is_named(spark):
+    own = [(label, text) for label, text in licenses.TEMPLATES]
+    lines = [
+        ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+        ("gpl-3", "Licensed under the GNU General Public License, version 3."),
+    ]
+    texts = [(label, f"Some words ahead. {text} And others behind it.") for label, text in [*own, *lines]]
+    texts.append(("bsd-3,cc0", texts[5][1] + " far from it " * 40 + own[-2][1]))
+    got = {r.doc_id: r.labels for r in licenses.report(documents(spark, [t for _, t in texts])).collect()}
+    assert [got[i] for i in range(len(texts))] == [label for label, _ in texts]
+
+
+def test_license_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    from matchloom.llm.sql import SQL
+
+    texts = [text[: len(text) * n // 10] for _, text in licenses.TEMPLATES for n in (5, 7, 8, 10)] + [f"{x} odd {y}" for (_, x), (_, y) in zip(licenses.TEMPLATES, licenses.TEMPLATES[1:], strict=False)] + [None, "", "under the mit license cc by nc"]
+    docs = documents(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score"
+    want = con.execute(f"SELECT {columns} FROM ({SQL['op10_licenses']}) ORDER BY doc_id").fetchall()
+    got = [tuple(r) for r in licenses.report(docs).select(*columns.split(", ")).orderBy("doc_id").collect()]
+    assert got == want
 
 
 def brute_targets(sizes):
