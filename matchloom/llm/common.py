@@ -49,9 +49,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *superseded: DataFrame) -> DataFrame:
     """The rows, written to the shared folder once and read again: it cuts the
-    lineage, survives lost executors, and is computed a single time."""
+    lineage, survives lost executors, and is computed a single time.
+
+    superseded: written tables that nothing refers to once this one is there; they are deleted.
+    """
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    for old in superseded:
+        discard(old)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table (and leaves any other DataFrame alone)."""
+    path = getattr(df, "scratch", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

@@ -32,4 +32,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(state) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = tuple(state)
-        edges = written(_small_star(_large_star(edges)))
+        edges = written(_small_star(_large_star(edges)), edges)

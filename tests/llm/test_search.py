@@ -216,6 +216,65 @@ def test_passages_survive_lower_ids_that_quote_a_part(spark):
     assert got == {0: 0, 1: 1} | {i: 2 for i in range(2, 10)}
 
 
+def test_passages_between_pieces_of_themselves(spark):
+    # 60 pairs with an equal passage of 80 words, beside three lower ids with 40 words of each: nothing may stand in their way.
+    rnd = random.Random(7)
+    words = lambda n: [f"w{rnd.randrange(50000)}" for _ in range(n)]
+    passages_ = [words(80) for _ in range(60)]
+    texts = []
+    for begin in (0, 20, 40):
+        for piece in (passages_[:20], passages_[20:40], passages_[40:]):
+            texts.append([w for p in piece for w in words(25) + p[begin : begin + 40]] + words(25))
+    pieces = len(texts)
+    texts += [words(30) + p + words(30) for p in passages_ for _ in (0, 1)]
+    got = {r.doc_id: r.class_id for r in passages.report(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i for i in range(pieces)} | {pieces + k: pieces + k - k % 2 for k in range(120)}
+
+
+def brute_passages(texts, words=50, shingle=5, least=0.8):
+    """Links by their definition, along each diagonal and those near it."""
+    sets = [t.split() for t in texts]
+    grams = [[tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] for w in sets]
+    width, found = words - shingle + 1, []
+    for b in range(len(grams)):
+        for a in range(b):
+            x, y = grams[a], grams[b]
+            if any(len(p := set(x[i : i + width])) and len(p & (q := set(y[j : j + width]))) >= least * len(p | q) for i in range(len(x) - width + 1) if not set(x[i : i + width]).isdisjoint(y) for j in range(len(y) - width + 1)):
+                found.append((a, b))
+    return found
+
+
+def test_passage_links_are_brute_force(spark):
+    rnd = random.Random(8)
+    words = lambda n: [f"v{rnd.randrange(20000)}" for _ in range(n)]
+    base, texts = [words(rnd.choice([52, 60, 75])) for _ in range(14)], []
+    for k in range(56):
+        p = list(rnd.choice(base))
+        kind = k % 4
+        if kind == 1:
+            p[len(p) // 2] = "changed"
+        if kind == 2:
+            del p[-20:]
+        texts.append(" ".join(words(rnd.randrange(25)) + p + words(rnd.randrange(25))))
+    links = brute_passages(texts)
+    want = components(len(texts), links)
+    got = {r.doc_id: r.class_id for r in passages.report(documents(spark, list(enumerate(texts)))).collect()}
+    joined = [got[a] == got[b] for a, b in links]
+    assert sum(joined) >= 0.95 * len(joined) and all(want[i] == want[got[i]] for i in range(len(texts)))
+    equal = [(a, b) for a, b in links if any(" ".join(texts[a].split()[i : i + 51]) in texts[b] for i in range(len(texts[a].split()) - 50))]
+    assert equal and all(got[a] == got[b] for a, b in equal)
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"u{rnd.randrange(9000)}" for _ in range(n))
+    one, two, split = text(60), text(60), text(60)
+    half = len(split.split()) // 2
+    rows = [(1, one), (1, two), (2, one), (3, two), (4, " ".join(split.split()[:half])), (4, " ".join(split.split()[half:])), (5, split)]
+    got = {r.doc_id: r.class_id for r in passages.report(documents(spark, rows)).distinct().collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
 def test_compact_windows_hold_every_subsequence_once():
     rnd = np.random.default_rng(2)
     for _ in range(20):
