@@ -13,7 +13,13 @@ is over the source's threshold. Two histograms of 4,096 bins, the second within
 the bin of the first that the target falls in, set the threshold; one
 more copy given or taken back then closes most of what is left.
 
-Multipliers and thresholds are a row per source; a document's copies follow
+The rate is the tilt of the odds of w against limit - w, in proportion to x: the
+exponential tilt of an entropy that has an upper bound. Sums that decide
+anything are of whole numbers, so that reruns agree in whatever order they are
+added up.
+
+Multipliers and thresholds are a row per source, broadcast up to 100,000 of
+them, so that a source with a third of all rows stays where its rows are; a document's copies follow
 from its own row and that one, so texts never move to be mixed.
 
 Defined results: null and empty texts have size 0 and take 0 words; a null
@@ -27,12 +33,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import word_count, written
+from matchloom.llm.common import checked_broadcast, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2
 BINS = 4096
+#: Sources up to which their parameters are broadcast.
+MOST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
@@ -56,6 +64,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return sources.select("source", "source_size", "n", F.least("most", F.col("weight") * F.lit(level)).alias("target"))
 
 
+def _fixed(x: Column) -> Column:
+    """A sum in units of 2**-20, the same in any order."""
+    return (F.sum((x * F.lit(float(1 << 20))).cast("decimal(38,0)")).cast("double") / (1 << 20)).cast("double")
+
+
+def _of_source(rows: DataFrame, params: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows with what is known of their source."""
+    return rows.alias(a).join(checked_broadcast(params, MOST_SOURCES).alias(b), F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")))
+
+
 def _rate(x: Column, multiplier: Column, limit: int) -> Column:
     return limit / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), multiplier * x))))
 
@@ -69,13 +87,13 @@ def solve(sizes: DataFrame, targets: DataFrame, limit: int = LIMIT, tolerance: f
     for _ in range(most):
         if not state.where((F.col("off") > tolerance) & ~F.col("full")).limit(1).count():
             break
-        open_ = state.where(~F.col("full")).alias("s")
-        both = sizes.alias("d").join(open_, F.col("d.source").eqNullSafe(F.col("s.source")))
+        open_ = state.where(~F.col("full"))
+        both = _of_source(sizes, open_, "d", "s")
         x = F.col("size") / F.col("mean")
         rate = _rate(x, F.col("multiplier"), limit)
         sums = both.groupBy("s.source").agg(
-            F.sum(F.col("d.n") * F.col("size") * rate).alias("words"),
-            F.sum(F.col("d.n") * F.col("size") * x * rate * (1 - rate / limit)).alias("slope"),
+            _fixed(F.col("d.n") * F.col("size") * rate).alias("words"),
+            _fixed(F.col("d.n") * F.col("size") * x * rate * (1 - rate / limit)).alias("slope"),
         )
         now = state.alias("s").join(sums.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")), "left")
         gap = F.col("words") - F.col("target")
@@ -92,7 +110,7 @@ def solve(sizes: DataFrame, targets: DataFrame, limit: int = LIMIT, tolerance: f
             "s.source", "source_size", "target", "mean", "full",
             F.when(F.col("words").isNull() | done, F.col("multiplier")).otherwise(step).alias("multiplier"),
             lo.alias("lo"), hi.alias("hi"), F.coalesce(off, F.lit(0.0)).alias("off"),
-        ))
+        ), state)
     return state.select("source", "source_size", "target", "mean", F.when(~F.col("full"), F.col("multiplier")).alias("multiplier"))
 
 
@@ -116,7 +134,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     """rows: (source, size, h). Returns per source: source_size, target, mean, multiplier, the cut (cut_bin, cut_sub): rows before it get one more copy; and the row (flip, its hash) that is the other way round."""
     sizes = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     params = written(solve(sizes, source_targets(sizes, weights, share, limit), limit))
-    leaning = rows.alias("r").join(params.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("p.*", "size", "h").withColumns(_lean(F.col("h"), limit))
+    leaning = _of_source(rows, params, "r", "p").select("p.*", "size", "h").withColumns(_lean(F.col("h"), limit))
     words = F.sum("size").alias("words")
     base = leaning.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
     params = params.alias("p").join(base.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")), "left")
@@ -126,7 +144,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     passed = _crossing(able.groupBy("source", "bin").agg(words), params, "bin").where("upto > need")
     first = passed.groupBy("source").agg(F.min(F.struct("bin", (F.col("need") - F.col("upto") + F.col("words")).alias("need"))).alias("x"))
     first = written(first.select("source", "x.bin", "x.need"))
-    inside = able.alias("a").join(first.alias("f"), F.col("a.source").eqNullSafe(F.col("f.source")) & (F.col("a.bin") == F.col("f.bin")))
+    inside = _of_source(able, first, "a", "f").where("a.bin = f.bin")
     subs = _crossing(inside.groupBy("a.source", "sub").agg(words), first, "sub")
     # Of the cuts around the need, the nearer one.
     cut = subs.groupBy("source").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("need")).alias("off"), (F.col("sub") + 1).alias("sub"))).alias("x"), F.min("need").alias("none"), F.first("bin").alias("bin"))
@@ -136,11 +154,11 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     out = out.select("p.source", "source_size", "target", "mean", "multiplier", F.coalesce("bin", F.lit(BINS)).alias("cut_bin"), F.coalesce("sub", F.lit(0)).alias("cut_sub"))
     out = written(out)
     # Last, the one row by source whose copy more or less brings the words nearest to the target.
-    cuts = rows.alias("r").join(out.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("p.*", "size", "h").withColumns(_lean(F.col("h"), limit))
+    cuts = _of_source(rows, out, "r", "p").select("p.*", "size", "h").withColumns(_lean(F.col("h"), limit))
     cuts = cuts.withColumn("up", _up(limit))
     gaps = cuts.groupBy("source").agg((F.max("target") - F.sum((F.col("whole") + F.col("up").cast("int")) * F.col("size"))).alias("gap"))
     gaps = written(gaps)
-    flips = cuts.alias("c").join(gaps.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).where(((F.col("gap") < 0) & F.col("up")) | ((F.col("gap") > 0) & ~F.col("up") & (F.col("whole") < limit)))
+    flips = _of_source(cuts, gaps, "c", "g").where(((F.col("gap") < 0) & F.col("up")) | ((F.col("gap") > 0) & ~F.col("up") & (F.col("whole") < limit)))
     flips = flips.withColumn("left", F.abs(F.abs("gap") - F.col("size"))).where(F.col("left") < F.abs("gap"))
     flips = flips.groupBy("c.source").agg(F.min(F.struct("left", "h")).alias("x")).select("source", F.col("x.h").alias("flip"))
     return out.alias("p").join(flips.alias("f"), F.col("p.source").eqNullSafe(F.col("f.source")), "left").select("p.*", "flip")
@@ -169,12 +187,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     params = written(plan(rows, weights, share, limit)).withColumnRenamed("source", "__of")
     # The document's own columns stay in a struct, whatever their names.
     drawn = docs.select(F.struct("*").alias("__row"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("h"))
-    drawn = drawn.join(params, F.col("__source").eqNullSafe(F.col("__of"))).select("__row", _copies(limit).alias("copies")).where("copies > 0")
+    drawn = drawn.join(checked_broadcast(params, MOST_SOURCES), F.col("__source").eqNullSafe(F.col("__of"))).select("__row", _copies(limit).alias("copies")).where("copies > 0")
     return drawn.select("__row", F.explode(F.sequence(F.lit(1), "copies"))).select("__row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
     rows = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash("doc_id", "text").alias("h")))
-    params = plan(rows.select("source", "size", "h"))
-    joined = rows.alias("r").join(params.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "h", "p.*")
+    params = written(plan(rows.select("source", "size", "h")))
+    joined = _of_source(rows, params, "r", "p").select("doc_id", "size", "h", "p.*")
     return joined.select("doc_id", "size", "source_size", "target", (_copies(LIMIT) * F.col("size")).alias("taken"))
