@@ -11,9 +11,10 @@ of all and rises as blocks pass; a block whose greatest length can't reach any
 threshold ends its batch, which is sorted by length. Batches after it are still
 looked at: a read partition packs files of any lengths in any order.
 
-Queries go through in blocks of `query_block` rows, which are broadcast: that
-bounds the driver and the workers whatever the number of queries. A block adds
-at most k rows per query and partition.
+Queries go through in blocks of `query_block` rows. A block is broadcast, its
+answers are written to the shared folder, and it is destroyed before the next
+one comes: that bounds the driver and the workers whatever the number of
+queries. Each block reads all candidates once.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as if filled up with zeros; equal rows
@@ -35,6 +36,8 @@ from matchloom.llm.common import written
 
 SCALE, BLOCK, QUERY_BLOCK, HEAD = 256, 4096, 4096, 0.25
 SEED_ROWS = 2048
+#: Components that are gathered at once for exact scores: 32 MB.
+GATHER = 1 << 22
 
 
 def whole_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -99,6 +102,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = BLOCK,
         q_len = np.sqrt((q**2).sum(axis=1))
         sent = spark.sparkContext.broadcast((ids, q, q_turned[:, :first].copy(), q_rest, q_len, floor, turn))
 
+        pairs = max(1, GATHER // max(dim, 1))
+
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q, q_head, q_rest, q_len, floor, turn = sent.value
             n = len(ids)
@@ -118,19 +123,19 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = BLOCK,
                     i, j = np.nonzero(bound >= least[:, None])
                     own = ids[i] != x_ids[j]
                     i, j = i[own], j[own]
-                    for c in range(0, len(i), 1 << 18):
-                        ci, cj = i[c : c + (1 << 18)], j[c : c + (1 << 18)]
+                    for c in range(0, len(i), pairs):
+                        ci, cj = i[c : c + pairs], j[c : c + pairs]
                         exact = _scores(q[ci], x[cj])
                         reach = exact >= least[ci]
                         got.append((ci[reach], x_ids[cj[reach]], exact[reach]))
-                    if sum(len(g[0]) for g in got) > 4 * n * k + (1 << 18):
+                    if sum(len(g[0]) for g in got) > 2 * n * k:
                         got = [_best(got, k)]
                         least = np.maximum(least, _thresholds(got[0], n, k))
             if got:
                 i, x_ids, exact = _best(got, k)
                 yield pd.DataFrame({"query_id": ids[i], "id": x_ids, "score": exact})
 
-        return run
+        return run, sent
 
     found = None
     for part in range(many):
@@ -147,7 +152,9 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = BLOCK,
             if distinct:
                 floor = np.partition(near, -k, axis=1)[:, -k]
                 floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), -np.inf)
-        out = rows.mapInPandas(against(ids, q, floor), "query_id bigint, id bigint, score bigint")
+        run, sent = against(ids, q, floor)
+        out = written(rows.mapInPandas(run, "query_id bigint, id bigint, score bigint"))
+        sent.destroy()
         found = out if found is None else found.union(out)
     if found is None:
         return spark.createDataFrame([], schema)
