@@ -64,6 +64,16 @@ def written(df: DataFrame, *superseded: DataFrame) -> DataFrame:
     return out
 
 
+def checked_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df (written, or cheap to count), for broadcasting if it has at most `most` rows; beyond that Spark joins it as it would any other."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart, null from empty too."""
+    return [F.xxhash64(text, F.octet_length(text)).alias("__h1"), F.xxhash64(F.crc32(text.cast("binary")), F.reverse(text), F.lit(1)).alias("__h2")]
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a written table (and leaves any other DataFrame alone)."""
     path = getattr(df, "scratch", None)

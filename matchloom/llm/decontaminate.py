@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import NON_WORD, words_of
+from matchloom.llm.common import NON_WORD, checked_broadcast, text_key, words_of, written
 
 #: Windows of a benchmark up to which it is broadcast: about 200 bytes each.
 MAX_BROADCAST = 300_000
@@ -91,14 +91,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 8, id_col: str
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", min_items: int = 2, width: int = 8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without what the benchmark holds.
 
-    mode "document": rows whose id has a text with windows of `min_items` or
-    more items go. mode "span": hit words go, with what stands before them.
-    Rows with a null id stay as they are. The rows that change are few, so only
-    their ids meet the documents in a join.
+    mode "document": rows whose text has windows of `min_items` or more items go;
+    each row is judged by its own text, whatever its id. The texts that go are
+    known by 128 bits of hashes, which are broadcast up to a million of them.
+    mode "span": hit words go, with what stands before them; rows with a null id
+    stay as they are.
     """
-    found = find_hits(docs, benchmark, width, id_col, text_col, **options).where(F.size("items") >= min_items).where(F.col("doc").isNotNull())
     if mode == "document":
-        return docs.join(found.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+        keyed = docs.withColumn("__key", F.struct(*text_key(F.col(text_col))))
+        found = find_hits(keyed, benchmark, width, "__key", text_col, **options).where(F.size("items") >= min_items)
+        gone = checked_broadcast(written(found.select("doc.*").distinct()))
+        return keyed.join(gone, (F.col("__key.__h1") == gone["__h1"]) & (F.col("__key.__h2") == gone["__h2"]), "left_anti").select(*docs.columns)
+    found = find_hits(docs, benchmark, width, id_col, text_col, **options).where(F.size("items") >= min_items).where(F.col("doc").isNotNull())
     if mode != "span":
         raise ValueError(f"mode is document or span, not {mode}")
     hit = found.groupBy(F.col("doc").alias("__doc")).agg(F.flatten(F.collect_set("spans")).alias("__spans"))

@@ -5,7 +5,9 @@ one node, so that exact copies cost nothing. Different ones within the radius
 agree in all of some set of bit blocks (64 bits in `radius` + k blocks: at least
 k of them are equal), so each node is filed under every such set; the nodes of
 one file are compared with each other, all with all, by exclusive-or and bit
-count. A file of more than `tile` nodes is cut into tiles by population count
+count. A file is sorted by population count, and a block of its nodes is compared with
+the tile of those alone whose counts lie within the radius of the block's. A
+file of more than `tile` nodes is cut into tiles by population count
 (and a hash beyond that): pairs of tiles whose counts differ by more than the
 radius are never built. A comparison passes on a spanning forest of the links
 that it finds, never all pairs, and components follow from the forests.
@@ -13,9 +15,8 @@ that it finds, never all pairs, and components follow from the forests.
 Filing loses no link, so results are those of comparing all with all.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
-any other; repeated rows share their class; rows with a null id are left alone
-in a null class unless their fingerprint is that of a row with an id or near to
-one; an empty table gives no rows; further columns are ignored.
+any other; repeated rows share their class; a row with a null id is in the class of
+what is near it, and in a null class if no row there has an id; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +27,17 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import written
+from matchloom.llm.common import checked_broadcast, text_key, written
 from matchloom.llm.components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Nodes that are compared all with all in one task.
 TILE = 4096
+#: Nodes that are compared with their tile at once.
+BLOCK = 64
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -63,20 +66,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp bigint")
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the ends of a spanning forest of the links between the values."""
-    rest, a, b = np.arange(len(fps)), [], []
+def forest(fps: np.ndarray, radius: int = RADIUS, block: int = BLOCK, compared: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the ends of a spanning forest of the links between the values. compared: gets how many pairs each block took."""
+    order = np.argsort(np.bitwise_count(fps), kind="stable")
+    fps = fps[order]
+    pop, rest, a, b = np.bitwise_count(fps).astype(np.int64), np.arange(len(fps)), [], []
     while len(rest):
-        stack, rest = [rest[0]], rest[1:]
-        while stack and len(rest):
-            at = stack.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[at]) <= radius
-            if near.any():
-                found, rest = rest[near], rest[~near]
-                a.append(np.full(len(found), at))
-                b.append(found)
-                stack.extend(found.tolist())
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            some, front = np.sort(front[:block]), front[block:]
+            # The tile: all that are left with a population count near the block's. The others are skipped unseen.
+            left = np.searchsorted(pop[rest], pop[some[0]] - radius)
+            right = np.searchsorted(pop[rest], pop[some[-1]] + radius, side="right")
+            tile = rest[left:right]
+            if compared is not None:
+                compared.append(len(some) * len(tile))
+            near = np.bitwise_count(fps[some][:, None] ^ fps[tile][None, :]) <= radius
+            hit = near.any(axis=0)
+            if hit.any():
+                a.append(some[near[:, hit].argmax(axis=0)])
+                b.append(tile[hit])
+                front = np.concatenate((front, tile[hit]))
+                keep = np.ones(len(rest), bool)
+                keep[left:right] = ~hit
+                rest = rest[keep]
+    return (order[np.concatenate(a)], order[np.concatenate(b)]) if a else (np.empty(0, int), np.empty(0, int))
 
 
 def _masks(n: int, radius: int) -> list[int]:
@@ -157,21 +171,46 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return out.union(work.groupBy("pair").applyInPandas(compare, "a bigint, b bigint"))
 
 
+def _classes(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """rows: (fp, ...). (fp, root) of each different fingerprint: the least fingerprint that links reach."""
+    nodes = written(rows.select("fp").distinct())
+    roots = connected_components(links(nodes.withColumn("node", F.col("fp")), radius, tile))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """(id, fp, component): component is the least id that links of fingerprints reach."""
     rows = written(fingerprints(docs, id_col, text_col, shingle))
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("node")))
-    roots = connected_components(links(nodes.where(F.col("node").isNotNull()), radius, tile))
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return rows.join(classes, "fp").select("id", "fp", "component")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class stays: the one with the least id. Rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("id = component").select(F.col("id").alias(id_col)).distinct()
-    numbered = docs.where(F.col(id_col).isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
-    one = numbered.where("__n = 1").join(kept, id_col, "left_semi").select(*docs.columns)
-    return one.union(docs.where(F.col(id_col).isNull()))
+    classes = written(_classes(rows, radius, tile))
+    least = rows.groupBy("fp").agg(F.min("id").alias("id")).join(classes, "fp").groupBy("root").agg(F.min("id").alias("component"))
+    return rows.join(classes.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """One row of each class stays: of the least id (null: the last), then of the least hash of the text.
+
+    Rows that go are known by id and text, and broadcast up to a million of
+    them, so that texts don't move; rows that are repeated as they are, which
+    these keys can't tell apart, are few and become one.
+    """
+    keyed = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *text_key(F.col(text_col)))
+    key = ["__id", "__h1", "__h2"]
+    rows = keyed.select(F.struct(*key).alias("key"), F.col("__text").alias("text"))
+    rows = written(fingerprints(rows.select(F.to_json("key", {"ignoreNullFields": "false"}).alias("key"), "text"), "key", "text", shingle))
+    kind = f"__id {docs.schema[id_col].dataType.simpleString()}, __h1 bigint, __h2 bigint"
+    rows = rows.select(F.from_json("id", kind).alias("key"), "fp")
+    classes = written(_classes(rows, radius, tile))
+    rows = written(rows.join(classes, "fp").select("root", "key").groupBy("root", "key").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("key.__id").isNull(), F.col("key"))
+    first = rows.groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("m")).select("root", F.col("m.o.key").alias("kept"), "m.n")
+    gone = written(rows.join(first.select("root", "kept"), "root").where(~F.col("key").eqNullSafe(F.col("kept"))).select("key.*"))
+    again = written(first.where("n > 1").select("kept.*"))
+    match = lambda left, other, how: left.alias("l").join(other.alias("o"), F.col("l.__id").eqNullSafe(F.col("o.__id")) & (F.col("l.__h1") == F.col("o.__h1")) & (F.col("l.__h2") == F.col("o.__h2")), how)
+    left = match(keyed, checked_broadcast(gone), "left_anti")
+    if again.isEmpty():
+        return left.select("__row.*")
+    once = match(left, checked_broadcast(again), "left_semi").groupBy(*key).agg(F.first("__row").alias("__row"))
+    return match(left, checked_broadcast(again), "left_anti").select("__row.*").union(once.select("__row.*"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from matchloom.llm import chat, decontaminate, licenses, mixing, shard
@@ -68,7 +69,7 @@ def test_decontamination_modes_and_odd_rows(spark):
     docs = documents(spark, [f"Keep this. {ITEM} And, this!", "clean", None, ITEM])
     docs = docs.union(docs.where("doc_id = 3")).union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
     left = decontaminate.decontaminate(docs, bench, min_items=1)
-    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "None"]
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2"]
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs.where("doc_id < 3"), bench, mode="span", min_items=1).collect()}
     assert cut == {0: "Keep this And, this!", 1: "clean", 2: None}
     with pytest.raises(ValueError):
@@ -180,29 +181,49 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.report(docs.limit(0)).count() == 0
 
 
-def test_shards_are_contiguous_and_even(spark):
-    texts = [None if i == 5 else "é" * (i * 37 % 50) + "x" * (4000 if i == 77 else 3) for i in range(400)]
-    docs = documents(spark, texts, size=1, shard=2, part=3, tie=4)
+def brute_shards(rows, shards, together):
+    """(id, size, crc) in shards, each in order: rows sorted by hash of the text, cut by the docstring."""
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t, 42)) - (1 << 64 if h >> 63 else 0)
+    data = sorted((signed(t), len(t) + 8, zlib.crc32(t), i is not None, i or 0) for i, t in rows)
+    ends, total = [], 0
+    for r in data:
+        total += r[1]
+        ends.append(total)
+    spans = {}
+    for r, e in zip(data, ends, strict=True):
+        low, _ = spans.setdefault(r[:3], (e - r[1], e))
+        spans[r[:3]] = (low, e)
+    cuts = [total * k / shards for k in range(1, shards)]
+    for k, c in enumerate(cuts):
+        for low, high in spans.values():
+            if low < c < high and high - low <= together * total / shards and sum(r[:3] == x for x, v in spans.items() if v == (low, high) for r in data) > 1:
+                cuts[k] = low if c - low <= high - c else high
+    out = {}
+    for r, e in zip(data, ends, strict=True):
+        out.setdefault(sum(c <= e - r[1] / 2 for c in cuts), []).append((r[4] if r[3] else None, r[1], r[2]))
+    return out
+
+
+@pytest.mark.parametrize(("shards", "n"), [(24, 400), (5, 60)])
+def test_shards_are_brute_force(spark, shards, n):
+    texts = [None if i == 5 else "é" * (i * 37 % 50) + "x" * (4000 if i == 77 else 3) for i in range(n)] + ["hot text " * 9] * (n // 3)
+    docs = documents(spark, texts, size=1, shard=2, part=3, tie=4, hash=5)
     docs = docs.union(docs.where("doc_id = 9")).union(docs.where("doc_id = 9")).union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
-    out = shard.report(docs).collect()
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert len(out) == len(rows)
-    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
-    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want and {r.law for r in out} == {"bytes"}
+    out = shard.report(docs, shards).collect()
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    assert {r.law for r in out} == {"bytes"} and len(out) == len(rows)
+    got = {}
+    for r in sorted(out, key=lambda r: (r.shard, r.slot)):
+        assert r.slot == len(got.setdefault(r.shard, []))
+        got[r.shard].append((r.doc_id, r.size, r.text_crc32))
+    assert got == brute_shards(rows, shards, shard.TOGETHER)
     total, largest = sum(r.size for r in out), max(r.size for r in out)
-    by = {}
-    for r in out:
-        by.setdefault(r.shard, []).append(r)
-    assert set(by) <= set(range(24))
-    for s, rs in by.items():
-        assert sorted(r.slot for r in rs) == list(range(len(rs)))
-        assert abs(sum(r.size for r in rs) - total / 24) <= largest
-    placed = sorted(out, key=lambda r: (r.shard, r.slot))
-    ids = [-1 if r.doc_id is None else r.doc_id for r in placed]
-    assert ids == sorted(ids)
+    assert all(abs(sum(x[1] for x in g) - total / shards) <= largest + shard.TOGETHER * total / shards for g in got.values())
     kept = shard.shard_documents(docs)
-    assert sorted(kept.columns) == sorted(docs.columns + ["slot"]) and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows)
+    assert sorted(kept.columns) == sorted(docs.columns + ["slot"]) and Counter((r.doc_id, (r.text or "").encode()) for r in kept.collect()) == Counter(rows)
     assert shard.report(docs.limit(0)).count() == 0
+    named = docs.withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string")))
+    assert shard.report(named).count() == len(rows)
 
 
 def test_chat_round_trip(spark):

@@ -75,10 +75,23 @@ def test_simhash_report_and_deduplicate(spark):
     out = {r.doc_id: r for r in simhash.report(docs.where("doc_id is not null")).collect()}
     assert out[3].component_id == 1 and len(out[3].fingerprint) == 16 and int(out[3].fingerprint, 16) == slow_fingerprint("a b c d")
     kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None", "None"]
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "a b c d"), ("2", "quite another text altogether"), ("None", "no id")]
     assert simhash.report(docs.limit(0)).count() == 0
 
 
+def test_simhash_tiles_are_skipped_by_population_count():
+    rnd = np.random.default_rng(1)
+    fps = np.unique(rnd.integers(0, 1 << 63, 3000).astype(np.uint64))
+    near = fps[:500] ^ (np.uint64(1) << rnd.integers(0, 64, 500).astype(np.uint64))
+    fps = np.unique(np.concatenate((fps, near)))
+    compared = []
+    a, b = simhash.forest(fps, compared=compared)
+    every = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    want = components(len(fps), [(int(i), int(j)) for j, i in zip(*np.nonzero(np.tril(every, -1)), strict=True)])
+    assert components(len(fps), list(zip(a.tolist(), b.tolist(), strict=True))) == want
+    assert sum(compared) < 0.45 * len(fps) * (len(fps) - 1) / 2 * 2
+
+
 def test_many_values_are_filed_without_loss():
     rnd = np.random.default_rng(0)
     for n in (10, 1 << 23, 1 << 32):
