@@ -32,7 +32,7 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not n else 200.0 * common_subsequence(a, b) / n
 
 
-def _join_sorted(text: str) -> str:
+def join_sorted(text: str) -> str:
     return " ".join(sorted(text.split()))
 
 
@@ -55,7 +55,7 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(_join_sorted(a), _join_sorted(b))
+    return ratio(join_sorted(a), join_sorted(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -81,7 +81,7 @@ def partial_token_ratio(a: str, b: str) -> float:
         return 0.0
     if x & y:
         return 100.0
-    return max(partial_ratio(_join_sorted(a), _join_sorted(b)), partial_ratio(" ".join(sorted(x)), " ".join(sorted(y))))
+    return max(partial_ratio(join_sorted(a), join_sorted(b)), partial_ratio(" ".join(sorted(x)), " ".join(sorted(y))))
 
 
 def weighted_ratio(a: str, b: str) -> float:

@@ -8,6 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 logger = logging.getLogger("matchloom")
+logger.addHandler(logging.NullHandler())
+
+
+def set_verbose(verbose: bool = True, level: str = "INFO") -> None:
+    """Whether this library's messages are shown, and from which level on; off, only warnings pass to the caller's handlers."""
+    for handler in [h for h in logger.handlers if getattr(h, "shows", False)]:
+        logger.removeHandler(handler)
+    logger.setLevel(level if verbose else logging.WARNING)
+    if verbose:
+        handler = logging.StreamHandler()
+        handler.shows = True
+        handler.setFormatter(logging.Formatter("%(levelname)s %(name)s: %(message)s"))
+        logger.addHandler(handler)
 
 #: Strings that stand for a missing entry, once lower-cased and stripped.
 NULL_TOKENS = ("nan", "null", "none", "", "na", "n/a")

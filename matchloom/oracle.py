@@ -101,8 +101,8 @@ SELECT row_id, round(CASE WHEN ns = 0 OR nt = 0 THEN 0.0 WHEN m > 0 AND (x = ''
     CASE WHEN m > 0 THEN 100.0 - 100.0 * (1 + length(x)) / (2 * m + 1 + length(x)) ELSE 0 END,
     CASE WHEN m > 0 THEN 100.0 - 100.0 * (1 + length(y)) / (2 * m + 1 + length(y)) ELSE 0 END) END, 6) AS score FROM sizes"""
 
-_COS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0),
-r AS (SELECT vec_id AS ref_id, CAST(embedding AS DOUBLE[]) AS w FROM embeddings WHERE vec_id % 10 <> 0),
+_COS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
+r AS (SELECT vec_id AS ref_id, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
 top AS (SELECT * FROM (SELECT query_id, ref_id, s AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ref_id) AS INTEGER) AS rank
   FROM (SELECT query_id, ref_id, list_cosine_similarity(v, w) AS s FROM q, r WHERE {})) WHERE rank <= {})"""
 
@@ -171,11 +171,11 @@ SQL: dict[str, str] = {
     "fuzzy_cutoff": f"{_top(_simple, 1, 85)} SELECT g.query, ref AS match, round(coalesce(score, 0.0), 6) AS score, CAST(coalesce(ref_id, -1) AS INTEGER) AS index, CAST(CASE WHEN ref IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_matches FROM given g LEFT JOIN top USING (query)",
     "l2_normalized": "SELECT vec_id, round(v[1] / n, 6) AS first, 1.0 AS norm FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)",
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "cosine_nearest": f"WITH {_COS.format('true', 1)} SELECT query_id, ref_id, round(similarity, 6) AS similarity FROM top",
-    "cosine_threshold_identity": f"WITH {_COS.format('true', 1)} SELECT query_id, CASE WHEN similarity >= 0.3 THEN ref_id ELSE query_id END AS ref_id, round(CASE WHEN similarity >= 0.3 THEN similarity ELSE 1.0 END, 6) AS similarity FROM top",
-    "cosine_threshold_null": f"WITH {_COS.format('true', 1)} SELECT query_id, CASE WHEN similarity >= 0.3 THEN ref_id END AS ref_id, round(CASE WHEN similarity >= 0.3 THEN similarity END, 6) AS similarity FROM top",
-    "cosine_topk": f"WITH {_COS.format('true', 5)} SELECT query_id, rank, ref_id, round(similarity, 6) AS similarity FROM top",
-    "topk_padded": f"WITH {_COS.format('ref_id < 4', 5)} SELECT query_id, CAST(n AS INTEGER) AS rank, coalesce(ref_id, -1) AS ref_id, round(similarity, 6) AS similarity FROM (SELECT query_id, unnest(range(1, 6)) AS n FROM q) LEFT JOIN (SELECT query_id, rank AS n, ref_id, similarity FROM top) USING (query_id, n)",
+    "cosine_nearest": f"WITH {_COS.format('query_id <> ref_id', 1)} SELECT query_id, ref_id, round(similarity, 6) AS similarity FROM top",
+    "cosine_threshold_identity": f"WITH {_COS.format('query_id <> ref_id', 1)} SELECT query_id, CASE WHEN similarity >= 0.3 THEN ref_id ELSE query_id END AS ref_id, round(CASE WHEN similarity >= 0.3 THEN similarity ELSE 1.0 END, 6) AS similarity FROM top",
+    "cosine_threshold_null": f"WITH {_COS.format('query_id <> ref_id', 1)} SELECT query_id, CASE WHEN similarity >= 0.3 THEN ref_id END AS ref_id, round(CASE WHEN similarity >= 0.3 THEN similarity END, 6) AS similarity FROM top",
+    "cosine_topk": f"WITH {_COS.format('query_id <> ref_id', 5)} SELECT query_id, rank, ref_id, round(similarity, 6) AS similarity FROM top",
+    "topk_padded": f"WITH {_COS.format('ref_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)', 60)} SELECT query_id, CAST(n AS INTEGER) AS rank, coalesce(ref_id, -1) AS ref_id, round(similarity, 6) AS similarity FROM (SELECT query_id, unnest(range(1, 61)) AS n FROM q) LEFT JOIN (SELECT query_id, rank AS n, ref_id, similarity FROM top) USING (query_id, n)",
     "catalog_models": f"WITH {MODELS} SELECT model, organization, size_category, dimensions, dimensions_int, size_gb, n_strengths, n_weaknesses FROM models",
     "catalog_categories": f"WITH {MEMBERS} SELECT category, nth, model FROM members",
     "catalog_recommendations": f"WITH {MODELS}, {USES} SELECT use_case, CAST(pos + 1 AS INTEGER) AS rank, model FROM uses",

@@ -95,6 +95,8 @@ def order_by(df: DataFrame, sort_by: str = "performance", ascending: bool = True
     """Ranked models by rank, then sized ones by size, then the others; or by size, dimensions or name, with what is unknown last."""
     if sort_by == "performance":
         return df.orderBy(F.when(F.col("leaderboard_rank").isNotNull(), 0).when(F.col("size_gb").isNotNull(), 1).otherwise(2), F.coalesce(F.col("leaderboard_rank").cast("double"), "size_gb"), "listed")
+    if sort_by not in ("size", "dimensions", "name"):
+        return df.orderBy("listed")  # unknown: as listed
     column = {"size": "size_gb", "dimensions": "dimensions", "name": "model"}[sort_by]
     # Backwards, the unknown come first.
     return df.orderBy(F.col(column).asc_nulls_last(), "listed") if ascending else df.orderBy(F.col(column).desc_nulls_first(), F.desc("listed"))
@@ -105,8 +107,20 @@ def smallest(spark: SparkSession, max_size_gb: float = 1.0, top_n: int = 5, boar
     return order_by(found.where(F.col("size_gb") <= max_size_gb), "size").limit(top_n)
 
 
-def available_models(spark: SparkSession, backend: str = "all", include_api: bool = True, sort_by: str = "performance", board: DataFrame | None = None) -> dict[str, DataFrame]:
-    """By backend, the models or methods that it offers."""
+def fastembed_models(spark: SparkSession) -> DataFrame:
+    """(pos, model, description, dimensions, size_gb) of what the package lists; none without it."""
+    try:
+        from fastembed import TextEmbedding
+
+        listed = TextEmbedding.list_supported_models()
+    except ImportError:
+        listed = []
+    cells = [(i, m["model"], m.get("description", ""), m.get("dim"), m.get("size_in_GB")) for i, m in enumerate(listed)]
+    return spark.createDataFrame(cells, "pos int, model string, description string, dimensions int, size_gb double")
+
+
+def available_models(spark: SparkSession, backend: str = "all", include_api: bool = True, sort_by: str = "performance", board: DataFrame | None = None, include_details: bool = True) -> dict[str, DataFrame]:
+    """By backend, the models or methods that it offers; without details, a column of names. board: None for the curated models alone."""
     out = {}
     if backend in ("all", "sentence-transformers"):
         out["sentence-transformers"] = order_by(enriched(spark, board), sort_by)
@@ -114,8 +128,13 @@ def available_models(spark: SparkSession, backend: str = "all", include_api: boo
         if include_api and backend in ("all", provider):
             found = api_models(spark).where(F.col("provider") == provider)
             out[provider] = found.orderBy({"name": "model", "dimensions": "dimensions"}.get(sort_by, "pos"), "pos")
+    if backend in ("all", "fastembed"):
+        found = fastembed_models(spark)
+        out["fastembed"] = found.orderBy({"size": F.asc_nulls_last("size_gb"), "dimensions": F.asc_nulls_last("dimensions"), "name": F.asc("model")}.get(sort_by, F.asc("pos")), "pos")
     if backend in ("all", "rapidfuzz", "fuzzy"):
         out["rapidfuzz"] = fuzzy_methods(spark).orderBy("method" if sort_by == "name" else "pos")
+    if not include_details:
+        return {name: df.select("method" if "method" in df.columns else "model") for name, df in out.items()}
     return out
 
 

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import is_null_token
-from matchloom.operators.exact import clean_references, exact_match
-from matchloom.operators.nearest import nearest
-from matchloom.operators.vector_search import top_vectors
+from matchloom.operators.exact import clean_references, exact_match, unmatched
+from matchloom.operators.nearest import nearest, numbered
+from matchloom.operators.vector_search import BLOCK, top_vectors
 from matchloom.sources.capabilities import best_backend
-from matchloom.sources.providers import PACKAGES, with_embeddings
+from matchloom.sources.providers import DEFAULT_MODELS, PACKAGES, PROVIDERS, available, with_embeddings
 from matchloom.sources.readers import entries
 
 FUZZY = ("rapidfuzz", "fuzzy")
@@ -44,11 +44,10 @@ def _scored(values: DataFrame, refs: DataFrame, backend: str, model: str, scorer
     """(value, ref, score in 0..1) of each distinct value."""
     if backend in FUZZY:
         return nearest(values, refs, scorer).withColumn("score", F.col("score") / 100)
-    values = values.distinct().withColumn("query_id", F.xxhash64("value"))
-    queries = with_embeddings(values, "value", backend, model).select("query_id", "value", F.col("embedding").alias("vector"))
-    vectors = with_embeddings(refs, "ref", backend, model).select("ref_id", "ref", F.col("embedding").alias("vector"))
+    queries = with_embeddings(values.distinct(), "value", backend, model, output="vector").withColumnRenamed("value", "query_id")
+    vectors = with_embeddings(numbered(refs, BLOCK), "ref", backend, model, output="vector")
     best = top_vectors(queries, vectors, 1, zero_is_null=True)
-    return queries.join(best, "query_id").join(vectors.select("ref_id", "ref"), "ref_id").select("value", "ref", F.col("similarity").alias("score"))
+    return best.select(F.col("query_id").alias("value"), "ref", F.col("similarity").alias("score"))
 
 
 def match_entities(
@@ -69,6 +68,7 @@ def match_entities(
         raise ValueError("unmatched is identity or null")
     if backend == "auto":
         backend = best_backend()
+    backend = PROVIDERS.get(backend, backend)
     if backend not in FUZZY and backend not in PACKAGES:
         raise ValueError(f"unsupported backend {backend}")
     given = F.col("given_entity")
@@ -105,21 +105,42 @@ def match_entities(
     return Run(out, observed, {"backend": label or backend, "model": model or method or backend})
 
 
-def match_lists(spark: SparkSession, dirty: Sequence[Any], refs: Sequence[Any], model: str = "rapidfuzz", backend: str = "auto", threshold: float = 0.7, **options: Any):
+def chosen_backend(model: str, backend: str, force_cpu: bool = False) -> tuple[str, str]:
+    """(provider, label). A service's or the fuzzy library's name may stand for the model or for the backend."""
+    if model in FUZZY or backend in FUZZY:
+        return "fuzzy", backend
+    for name in ("openai", "gemini"):
+        if name in (model, backend):
+            return PROVIDERS.get(name, name), backend
+    found = best_backend(force_cpu) if backend == "auto" else backend
+    if found in FUZZY:
+        return "fuzzy", backend
+    return PROVIDERS.get(found, found), backend
+
+
+def match_lists(spark: SparkSession, dirty: Sequence[Any], refs: Sequence[Any], model: str = "rapidfuzz", backend: str = "auto", threshold: float = 0.7, model_name: str | None = None, force_cpu: bool = False, **options: Any):
     """Lists in, a pandas frame in input order out, with the counts in its attrs.
 
     Fuzzy scoring, the default, takes its best hit at any score; the threshold
-    is for embeddings. Without a usable embedding backend it falls back to fuzzy.
+    is for embeddings. model or backend may name a service ("openai",
+    "gemini"), whose own model is model_name. A provider whose package is
+    missing is an error, unless everything has an exact match or is null.
     """
-    fuzzy = model in FUZZY or backend in FUZZY
-    chosen = "fuzzy" if fuzzy else {"gemini": "google"}.get(backend, backend)
-    if not fuzzy and chosen == "auto":
-        chosen = best_backend()
-        fuzzy = chosen == "fuzzy"
+    chosen, label = chosen_backend(model, backend, force_cpu)
+    fuzzy = chosen == "fuzzy"
+    if not fuzzy and chosen not in PACKAGES:
+        raise ValueError(f"unsupported backend {backend}")
+    given, known = entries(spark, dirty, "given_entity"), entries(spark, refs, "ref", "ref_id")
+    if not fuzzy and not available(PACKAGES[chosen]):
+        left = unmatched(given, known, options.get("case_sensitive", False))
+        if not clean_references(known).isEmpty() and not left.isEmpty():
+            raise ImportError(f"{chosen} needs the package {PACKAGES[chosen]}")
+        chosen, fuzzy = "fuzzy", True  # nothing is left to score
     if chosen == "openai":
         options.setdefault("unmatched", "null")
+    encoder = "" if fuzzy else DEFAULT_MODELS[chosen] if model in ("openai", "gemini") or chosen in DEFAULT_MODELS and model_name is None else model
     began = time.time()
-    run = match_entities(entries(spark, dirty, "given_entity"), entries(spark, refs, "ref", "ref_id"), chosen, "" if fuzzy else model, threshold=None if fuzzy else threshold, method=model, label=backend, **options)
+    run = match_entities(given, known, chosen, model_name or encoder, threshold=None if fuzzy else threshold, method=model, label=label, **options)
     # Sorted here: a sort in Spark reads its input twice, and the counts with it.
     out = run.result.toPandas().sort_values("row_id", ignore_index=True).drop(columns="row_id")
     out.attrs = run.metrics() | {"processing_time": time.time() - began}

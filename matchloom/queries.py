@@ -204,8 +204,9 @@ def compare_scorers(spark, d):
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector asks, all the others are candidates."""
     e = _read(spark, d, "embeddings")
-    return e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("vector"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("vector"))
 
 
 def l2_normalized(spark, d):
@@ -221,13 +222,13 @@ def cosine_pairs(spark, d):
 
 def cosine_nearest(spark, d):
     q, r = _vectors(spark, d)
-    return _round(top_vectors(q, r, 1, zero_is_null=True).select("query_id", "ref_id", "similarity"), "similarity")
+    return _round(top_vectors(q, r, 1, zero_is_null=True, other_than_own=True).select("query_id", "ref_id", "similarity"), "similarity")
 
 
 def _thresholded(spark: SparkSession, d: str, otherwise) -> DataFrame:
     q, r = _vectors(spark, d)
     reach = F.col("similarity") >= 0.3
-    return top_vectors(q, r, 1).select("query_id", F.when(reach, F.col("ref_id")).otherwise(otherwise[0]).alias("ref_id"), F.round(F.when(reach, F.col("similarity")).otherwise(otherwise[1]), 6).alias("similarity"))
+    return top_vectors(q, r, 1, other_than_own=True).select("query_id", F.when(reach, F.col("ref_id")).otherwise(otherwise[0]).alias("ref_id"), F.round(F.when(reach, F.col("similarity")).otherwise(otherwise[1]), 6).alias("similarity"))
 
 
 def cosine_threshold_identity(spark, d):
@@ -240,13 +241,14 @@ def cosine_threshold_null(spark, d):
 
 def cosine_topk(spark, d):
     q, r = _vectors(spark, d)
-    return _round(top_vectors(q, r, 5), "similarity")
+    return _round(top_vectors(q, r, 5, other_than_own=True), "similarity")
 
 
 def topk_padded(spark, d):
-    q, r = _vectors(spark, d)
-    few = r.where("ref_id < 4")
-    return _round(with_padding(top_vectors(q, few, 5), q, 5), "similarity")
+    """Against the first vector of each label: there are fewer labels than ranks."""
+    q, _ = _vectors(spark, d)
+    first = _read(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("ref_id"), F.min_by("embedding", "vec_id").alias("vector"))
+    return _round(with_padding(top_vectors(q, first, 60), q, 60), "similarity")
 
 
 def pca_explained(spark, d):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from matchloom.sources.providers import PACKAGES, available
+import os
+
+from matchloom.sources.providers import KEYS, PACKAGES, available
 
 #: Optional packages by the name they are asked for.
 OPTIONAL = {"sentence_transformers": "sentence_transformers", "fastembed": "fastembed", "openai": "openai", "gemini": "google.generativeai", "rapidfuzz": "rapidfuzz", "faiss": "faiss", "numba": "numba"}
@@ -17,9 +19,10 @@ def check_optional_dependencies(verbose: bool = False) -> dict[str, bool]:
 
 
 def best_backend(prefer_cpu: bool = False) -> str:
-    """The scorers here need no package, so that there is always one to fall back on."""
-    order = (["fastembed"] if prefer_cpu else []) + ["sentence-transformer", "fastembed"]
-    return next((name for name in order if available(PACKAGES[name])), "fuzzy")
+    """Local models first, then services that have a key. The scorers here need no package, so that there is always one to fall back on."""
+    order = (["fastembed"] if prefer_cpu else []) + ["sentence-transformer", "fastembed", "openai", "google"]
+    usable = lambda name: available(PACKAGES[name]) and (name not in KEYS or bool(os.environ.get(KEYS[name])))
+    return next((name for name in order if usable(name)), "fuzzy")
 
 
 def fuzzy_library() -> dict[str, object]:

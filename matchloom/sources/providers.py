@@ -18,7 +18,7 @@ _cache: dict[str, Callable[[Sequence[str]], np.ndarray]] = {}
 #: Short names and the models they stand for.
 ALIASES = {
     "all-MiniLM-L6-v2": "sentence-transformers/all-MiniLM-L6-v2",
-    "bge-small-en-v1.5": "BAAI/bge-small-en-v1.5",
+    "all-mpnet-base-v2": "sentence-transformers/all-mpnet-base-v2",
 }
 
 
@@ -51,7 +51,11 @@ def _sentence_transformer(model: str, force_cpu: bool):
 def _fastembed(model: str):
     from fastembed import TextEmbedding
 
-    loaded = TextEmbedding(model_name=ALIASES.get(model, model))
+    name = ALIASES.get(model, model)
+    offered = [m["model"] for m in TextEmbedding.list_supported_models()]
+    if name not in offered:
+        raise ValueError(f"fastembed has no model {name}; it has {', '.join(offered[:10])} and {max(len(offered) - 10, 0)} more")
+    loaded = TextEmbedding(model_name=name)
     return lambda texts: np.stack(list(loaded.embed(list(texts))))
 
 
@@ -79,8 +83,14 @@ def _key(name: str) -> str:
 #: Package that each provider needs.
 PACKAGES = {"hashed": None, "sentence-transformer": "sentence_transformers", "fastembed": "fastembed", "openai": "openai", "google": "google.generativeai"}
 
+#: Other names of providers, and the services' own models.
+PROVIDERS = {"sentence-transformers": "sentence-transformer", "gemini": "google"}
+DEFAULT_MODELS = {"openai": "text-embedding-ada-002", "google": "models/embedding-001"}
+KEYS = {"openai": "OPENAI_API_KEY", "google": "GEMINI_API_KEY"}
+
 
 def load(provider: str, model: str = "", force_cpu: bool = True, cache: bool = True) -> Callable[[Sequence[str]], np.ndarray]:
+    provider = PROVIDERS.get(provider, provider)
     if provider not in PACKAGES:
         raise ValueError(f"provider is one of {', '.join(PACKAGES)}, not {provider}")
     key = f"{provider}_{model}_{force_cpu}"
@@ -110,6 +120,7 @@ def available(package: str | None) -> bool:
 
 def with_embeddings(df: DataFrame, text_col: str, provider: str | Callable[[Sequence[str]], np.ndarray] = "hashed", model: str = "", output: str = "embedding", force_cpu: bool = True) -> DataFrame:
     """df with an array<float> column. A null text has a null vector. A callable stands for itself."""
+    provider = PROVIDERS.get(provider, provider) if isinstance(provider, str) else provider
     if isinstance(provider, str) and provider not in PACKAGES:
         raise ValueError(f"provider is one of {', '.join(PACKAGES)}, not {provider}")
 
@@ -123,7 +134,8 @@ def with_embeddings(df: DataFrame, text_col: str, provider: str | Callable[[Sequ
                 out[given] = pd.Series([np.asarray(v, np.float32).tolist() for v in encode(list(s[given]))], index=np.flatnonzero(given))
             yield out
 
-    return df.withColumn(output, run(F.col(text_col)))
+    # Called nondeterministic, the optimizer never evaluates it a second time for a filter.
+    return df.withColumn(output, run.asNondeterministic()(F.col(text_col)))
 
 
 def embed_texts(spark, texts: str | Iterable[str], provider="hashed", **options) -> np.ndarray:

@@ -35,7 +35,25 @@ def test_scorers_are_bounded_and_symmetric_where_they_should_be(a, b):
         assert 0 <= kernels.scorer(name)(a, b) <= 100 + 1e-9
     assert kernels.ratio(a, b) == kernels.ratio(b, a)
     assert kernels.upper_bound(a, b) + 1e-9 >= kernels.ratio(a, b)
-    assert kernels.partial_ratio(a, b) + 1e-9 >= (kernels.ratio(a, b) if a and b else 0)
+
+
+def all_windows(a, b):
+    """The best ratio of the shorter string with any piece of the other that is no longer, and, if it is shorter, stands at an end."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    best = 0.0
+    for short, long in {(a, b), (b, a)} if len(a) == len(b) else {(min(a, b, key=len), max(a, b, key=len))}:
+        for i in range(len(long)):
+            for j in range(i + 1, min(i + len(short), len(long)) + 1):
+                if j - i == len(short) or i == 0 or j == len(long):
+                    best = max(best, 200.0 * table_lcs(short, long[i:j]) / (len(short) + j - i))
+    return best
+
+
+@settings(max_examples=200, deadline=None)
+@given(LETTERS, LETTERS)
+def test_partial_ratio_is_the_best_window(a, b):
+    assert kernels.partial_ratio(a, b) == pytest.approx(all_windows(a, b))
 
 
 def test_scorers_by_hand():

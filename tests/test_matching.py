@@ -3,12 +3,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions import kernels
 from matchloom.operators.exact import clean_references, exact_match, unmatched
 from matchloom.operators.nearest import nearest, top_references
 from matchloom.operators.projection import pca, plot_frame, umap
 from matchloom.operators.vector_search import top_vectors, with_padding
 from matchloom.plans.fuzzy import FuzzyMatcher, compare_algorithms, fuzzy_baseline, robust_fuzzy_match
-from matchloom.plans.match import match_entities, match_lists
+from matchloom.plans.match import chosen_backend, match_entities, match_lists
 from matchloom.sources import providers
 from matchloom.sources.capabilities import best_backend, check_optional_dependencies, fuzzy_library
 from matchloom.sources.readers import entity_csv, entries
@@ -174,3 +175,67 @@ def test_pca_is_the_centred_svd(spark):
 def test_entity_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text("stname,dtname\nA,B\n")
     assert entity_csv(spark, str(tmp_path / "x.csv"), ["stname", "dtname"]).first().dtname == "B"
+
+
+def test_repeated_and_null_ref_ids_over_block_edges(spark):
+    values = spark.createDataFrame([("zz",), ("qq",)], "value string")
+    refs = spark.createDataFrame([(1, "ab"), (1, "zz"), (None, "qq"), (None, "xx"), (2, "qz")], "ref_id long, ref string")
+    for block in (1, 2, 99):
+        assert {r.value: (r.ref, r.score) for r in nearest(values, refs, "ratio", block=block).collect()} == {"zz": ("zz", 100.0), "qq": ("qq", 100.0)}
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<double>")
+    r = spark.createDataFrame([(7, [0.0, 1.0]), (7, [3.0, 0.1]), (None, [1.0, 1.0])], "ref_id long, vector array<double>")
+    for block in (1, 2, 99):
+        assert [x.ref_id for x in top_vectors(q, r, 3, block).orderBy("rank").collect()] == [7, None, 7]
+
+
+def test_every_bound_keeps_the_best(spark):
+    rnd = np.random.default_rng(5)
+    names = [" ".join("".join(rnd.choice(list("abcde"), rnd.integers(1, 6))) for _ in range(rnd.integers(1, 4))) for _ in range(120)]
+    values, refs = spark.createDataFrame([(n,) for n in names[:50]], "value string"), entries(spark, names[50:], "ref", "ref_id")
+    for name in ("token_sort_ratio", "ratio", "WRatio"):
+        score = kernels.scorer(name)
+        want = {v: max((score(v, r), -i) for i, r in enumerate(names[50:])) for v in set(names[:50])}
+        got = {r.value: (r.score, -r.ref_id) for r in top_references(values, refs.withColumn("key", F.col("ref")), name, block=16).collect()}
+        assert got == want, name
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    log = tmp_path / "texts"
+
+    def encode(texts):
+        with log.open("a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return providers.hashed_ngrams(texts)
+
+    providers._cache["hashed__True"] = encode
+    try:
+        dirty, refs = entries(spark, ["Chiacgo", "Huston", "Chiacgo"], "given_entity"), entries(spark, [f"Ref {i}" for i in range(12)], "ref", "ref_id")
+        from matchloom.operators.vector_search import numbered
+
+        vectors = providers.with_embeddings(numbered(refs, 2), "ref", encode, output="vector")
+        queries = providers.with_embeddings(dirty.select("given_entity").distinct(), "given_entity", encode, output="vector").withColumnRenamed("given_entity", "query_id")
+        assert top_vectors(queries, vectors, 1, 2).count() == 2
+    finally:
+        providers.clear_model_cache()
+    assert sorted(log.read_text().split("\n")[:-1]) == sorted(["Chiacgo", "Huston", *(f"Ref {i}" for i in range(12))])
+
+
+def test_names_select_their_provider_or_raise(spark, monkeypatch):
+    for name in ("openai", "gemini"):
+        assert chosen_backend(name, "auto")[0] == chosen_backend("x", name)[0] == {"gemini": "google"}.get(name, name)
+        if not providers.available(providers.PACKAGES[{"gemini": "google"}.get(name, name)]):
+            with pytest.raises(ImportError):
+                match_lists(spark, DIRTY, REFS, model=name)
+        assert list(match_lists(spark, ["chicago", None], REFS, model=name)["prediction"])[:1] == ["Chicago"]  # nothing is left for the model
+    if not providers.available("sentence_transformers"):
+        with pytest.raises(ImportError):
+            match_lists(spark, DIRTY, REFS, model="all-MiniLM-L6-v2", backend="sentence-transformers")
+    with pytest.raises(ValueError):
+        match_lists(spark, DIRTY, REFS, model="all-MiniLM-L6-v2", backend="no such")
+    monkeypatch.setattr("matchloom.sources.capabilities.available", lambda p: p in ("openai", None))
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    assert best_backend() == "openai"
+    monkeypatch.delenv("OPENAI_API_KEY")
+    assert best_backend() == "fuzzy"
+    with pytest.raises(ValueError):
+        providers._key("OPENAI_API_KEY")
