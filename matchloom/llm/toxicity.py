@@ -31,8 +31,11 @@ Bounds. The labelled sample is at most `per_class` documents of each class
 (those with the least hash of the id), and of these as many as begin within
 `class_bytes` of text: only so the models, which are broadcast, have a bound (a
 pair takes 16 bytes, and every two bytes of text make one at most). Within the
-sample nothing is cut: every word and pair of it is in the models. The shared
-counts cover all documents, and scoring every word of every text.
+sample nothing is cut: every word and pair of it counts. Pairs that at most
+z**2 / 3 documents of either class hold are discounted whole, so that their
+likelihood is that of the backoff; they stay in Spark, which sums them, and only
+the others come to the driver. The shared counts cover all documents, and
+scoring every word of every text.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters, known
 by 64-bit hashes. Learned from are only rows whose crc32(id as text) mod `folds`
@@ -54,7 +57,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import written
+from matchloom.llm.common import discard, written
 
 PER_CLASS, CLASS_BYTES, FOLDS = 4000, 16 << 20, 5
 #: Standard errors of a count that are put down to chance.
@@ -129,9 +132,14 @@ def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return before, word, owner
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of 0, 1, 2, and 3 or more: the modified Kneser-Ney estimate, kept within 0 and the count; 0.75 at most of what counts of counts can't tell."""
-    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6).astype(float)
+def spectrum(counts: np.ndarray) -> np.ndarray:
+    """How often each count from 0 to 4 is met, and larger ones."""
+    return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """From a spectrum, what is taken off counts of 0, 1, 2, and 3 or more: the modified Kneser-Ney estimate, kept within 0 and the count; 0.75 of what counts of counts can't tell."""
+    n = np.asarray(n, float)
     if not n[1] or not n[2]:
         return np.array([0.0, 0.75, 0.75, 0.75])
     y = n[1] / (n[1] + 2 * n[2])
@@ -166,10 +174,11 @@ class Model:
             held = np.where(known, self.held[at], 0.0)
             start = np.concatenate(([True], owner[1:] != owner[:-1]))
             gain += np.where(start, self.held_of_start, np.concatenate(([0.0], held[:-1])))
-            keys = pair_keys(before, word)
-            spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            counted = self.pairs[spot] == keys
-            gain[counted] = self.gains[spot[counted]]
+            if len(self.pairs):
+                keys = pair_keys(before, word)
+                spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+                counted = self.pairs[spot] == keys
+                gain[counted] = self.gains[spot[counted]]
             n = np.bincount(owner, minlength=len(some))
             out[begin : begin + len(some)] = np.bincount(owner, gain, len(some)) / np.maximum(n, 1)
         return out
@@ -183,15 +192,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.evidence(texts), -500, 500)))
 
 
-def _discounted(n: np.ndarray, both: np.ndarray, share: np.ndarray | float, chance: float) -> np.ndarray:
-    """What the backoff gets of each count: the Kneser-Ney discount, and what chance explains."""
-    own = discounts(n[n > 0])[np.minimum(n, 3).astype(int)]
+def _discounted(n: np.ndarray, both: np.ndarray, share: np.ndarray | float, chance: float, met: np.ndarray) -> np.ndarray:
+    """What the backoff gets of each count: the Kneser-Ney discount by the spectrum `met`, and what chance explains."""
+    own = discounts(met)[np.minimum(n, 3).astype(int)]
     expected = both * share
     return np.minimum(n, own + expected + chance * np.sqrt(expected) + chance**2 / 3)
 
 
-def build(words: np.ndarray, word_counts: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray, pair_counts: dict[str, np.ndarray], shared_counts: np.ndarray, occurrences: int, chance: float = CHANCE) -> Model:
-    """words: sorted, all that are in the pairs but START. Counts by class (t, o) of documents; shared_counts: of all documents, by word; occurrences: their sum over all words, these or not."""
+def build(words: np.ndarray, word_counts: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray, pair_counts: dict[str, np.ndarray], shared_counts: np.ndarray, occurrences: int, chance: float = CHANCE, sums_of: tuple[np.ndarray, dict[str, np.ndarray]] | None = None, met: dict[str, np.ndarray] | None = None) -> Model:
+    """sums_of (first words and their sums by class) and met (spectra by class) are of all pairs, where those that chance explains whole are left out of the others.
+
+    words: sorted, all that are in the pairs but START. Counts by class (t, o) of documents; shared_counts: of all documents, by word; occurrences: their sum over all words, these or not."""
     words = np.append(words, START) if START not in words else words
     order = np.argsort(words)
     words = words[order]
@@ -201,15 +212,19 @@ def build(words: np.ndarray, word_counts: dict[str, np.ndarray], first: np.ndarr
     v, w = np.searchsorted(words, first), np.searchsorted(words, second)
     pairs = {c: np.asarray(pair_counts[c], float) for c in "to"}
     sums = {c: max(n[c].sum(), 1.0) for c in "to"}
-    after = {c: np.bincount(v, pairs[c], len(words)) for c in "to"}
+    if sums_of is None:
+        sums_of = first, pair_counts
+    whose = np.searchsorted(words, sums_of[0])
+    after = {c: np.bincount(whose, sums_of[1][c], len(words)) for c in "to"}
+    met = met or {c: spectrum(pairs[c][pairs[c] > 0]) for c in "to"}
     every = np.maximum(after["t"] + after["o"], 1)
     log, other, pair_log, held_log = {}, {}, {}, {}
     for c in "to":
-        d = _discounted(n[c], n["t"] + n["o"], sums[c] / (sums["t"] + sums["o"]), chance)
+        d = _discounted(n[c], n["t"] + n["o"], sums[c] / (sums["t"] + sums["o"]), chance, spectrum(n[c][n[c] > 0]))
         other[c] = d.sum() / sums[c]
         back = (n[c] - d) / sums[c] + other[c] * shared
-        d = _discounted(pairs[c], pairs["t"] + pairs["o"], (after[c] / every)[v], chance)
-        held = np.where(after[c] > 0, np.bincount(v, d, len(words)) / np.maximum(after[c], 1), 1.0)
+        d = _discounted(pairs[c], pairs["t"] + pairs["o"], (after[c] / every)[v], chance, met[c])
+        held = np.where(after[c] > 0, (after[c] - np.bincount(v, pairs[c] - d, len(words))) / np.maximum(after[c], 1), 1.0)
         pair_log[c] = np.log((pairs[c] - d) / np.maximum(after[c][v], 1) + held[v] * back[w])
         log[c], held_log[c] = np.log(back), np.log(held)
     keys = pair_keys(first, second)
@@ -301,7 +316,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     counted = texts.where("fit").select("text", "y")
     sums = F.sum("t").alias("t"), F.sum("o").alias("o")
     # What comes to the driver is bounded by class_bytes.
-    pairs = counted.mapInPandas(_count_pairs, "v bigint, w bigint, t bigint, o bigint").groupBy("v", "w").agg(*sums).toArrow()
+    every_pair = written(counted.mapInPandas(_count_pairs, "v bigint, w bigint, t bigint, o bigint").groupBy("v", "w").agg(*sums))
+    pairs = every_pair.where(F.greatest("t", "o") > chance**2 / 3).toArrow()
+    firsts = every_pair.groupBy("v").agg(*sums).toArrow()
+    rows = every_pair.groupBy(F.least("t", F.lit(5)).alias("t"), F.least("o", F.lit(5)).alias("o")).agg(F.count("*").alias("n")).collect()  # 36 rows at most
+    met = {c: np.array([sum(r["n"] for r in rows if r[c] == k) for k in range(6)]) for c in "to"}
+    discard(every_pair)
     of_class = counted.mapInPandas(_count_class_words, "w bigint, t bigint, o bigint").groupBy("w").agg(*sums)
     kept = texts.where("not fit").toPandas()
     # Every document's words; only those of the sample come back, a row each.
@@ -311,8 +331,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     if not column(words, "t").any() or not column(words, "o").any() or kept["y"].nunique() < 2:
         return _flat(sizes[1] / (sizes[0] + sizes[1]))
     by_class = lambda table: {c: column(table, c) for c in "to"}
-    model = build(column(words, "w"), by_class(words), column(pairs, "v"), column(pairs, "w"), by_class(pairs), column(words, "n"), everywhere.agg(F.sum("n")).first()[0], chance)
-    del pairs, words
+    model = build(column(words, "w"), by_class(words), column(pairs, "v"), column(pairs, "w"), by_class(pairs), column(words, "n"), everywhere.agg(F.sum("n")).first()[0], chance, (column(firsts, "v"), by_class(firsts)), met)
+    discard(everywhere)
+    del pairs, words, firsts
     toxic = kept["y"].to_numpy(np.float64)
     share = {y: n / (kept["y"] == y).sum() for y, n in sizes.items()}
     weight = np.where(toxic == 1, share[1], share[0])

@@ -402,6 +402,12 @@ def test_kneser_ney_is_its_formulas(z):
     every = pd.concat(toxicity._count_words([pd.DataFrame({"text": corpus})])).groupby("w").sum()["n"]
     of = lambda f: {c: f[c].to_numpy() for c in "to"}
     model = toxicity.build(words["w"].to_numpy(), of(words), pairs["v"].to_numpy(), pairs["w"].to_numpy(), of(pairs), every.loc[words["w"]].to_numpy(), int(every.sum()), z)
+    # The same from the pairs alone that chance can't explain whole.
+    some = pairs[pairs[["t", "o"]].max(axis=1) > z * z / 3]
+    firsts = pairs.groupby("v", as_index=False).sum()
+    met = {c: toxicity.spectrum(pairs[c][pairs[c] > 0].to_numpy()) for c in "to"}
+    lean = toxicity.build(words["w"].to_numpy(), of(words), some["v"].to_numpy(), some["w"].to_numpy(), of(some), every.loc[words["w"]].to_numpy(), int(every.sum()), z, (firsts["v"].to_numpy(), of(firsts)), met)
+    assert np.allclose(lean.evidence([t for t, _ in docs]), model.evidence([t for t, _ in docs]), atol=1e-12)
     asked = [text(1) for _ in range(6)] + ["never seen words", "Übel unknown Übel", "x"]
     got = model.evidence([*asked, None, ""])
     unknown = model.other  # what no class has seen: the classes differ by their held share alone
