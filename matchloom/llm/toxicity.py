@@ -18,7 +18,8 @@ A discount d has two parts. One is the modified Kneser-Ney discount for counts
 of 1, 2 and more, from the class's counts of counts. The other is what chance
 explains: if both classes spoke alike, a class with the share s of all counts
 would hold e = s * (n_t + n_o) of a word's; up to e + z * sqrt(e) + z**2 / 3
-goes to the backoff too (no more than the count). Discounts of the first kind
+goes to the backoff too (no more than the count). Which z of CHANCES, the calibration
+documents tell. Discounts of the first kind
 alone were measured to fail here: on sf0.1 they found 5 of 97 held-out toxic
 documents, since which language a class happens to hold more of outweighs a few
 insults in hundreds of words; with both, 85.
@@ -62,6 +63,8 @@ from matchloom.llm.common import discard, written
 PER_CLASS, CLASS_BYTES, FOLDS = 4000, 16 << 20, 5
 #: Standard errors of a count that are put down to chance.
 CHANCE = 2.0
+#: Of these, training takes the one with the least loss on the calibration documents.
+CHANCES = (2.0, 3.5, 6.0, 10.0)
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 19
 
@@ -233,8 +236,8 @@ def build(words: np.ndarray, word_counts: dict[str, np.ndarray], first: np.ndarr
     return Model(words, gains(held_log), gains(log), math.log(other["t"] / other["o"]), keys[order], gains(pair_log)[order])
 
 
-def calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
-    """Weighted logistic regression on the one feature, by Newton's method with a slight pull to zero."""
+def calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted logistic regression on the one feature, by Newton's method with a slight pull to zero. Returns the loss."""
     middle = float(np.average(evidence, weights=weight))
     scale = float(np.sqrt(np.average((evidence - middle) ** 2, weights=weight))) or 1.0
     x = np.column_stack([np.ones(len(evidence)), (evidence - middle) / scale])
@@ -248,6 +251,8 @@ def calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, weight: np.
             break
     model.slope = float(beta[1] / scale)
     model.bias = float(beta[0] - model.slope * middle)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))), 1e-12, 1 - 1e-12)
+    return float(-np.average(toxic * np.log(p) + (1 - toxic) * np.log(1 - p), weights=weight))
 
 
 def _held_out(col: str, folds: int):
@@ -299,7 +304,7 @@ def _count_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"w": words, "n": counts})
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, folds: int = FOLDS, chance: float = CHANCE) -> Model:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, folds: int = FOLDS, chances: tuple[float, ...] = CHANCES) -> Model:
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~_held_out(id_col, folds))
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").select("id", "y")
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -310,14 +315,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     sample = F.broadcast(chosen[0].union(chosen[1]))
     fit = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(4)) > 0
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "id").withColumn("fit", fit)
-    # By class, the texts that begin within class_bytes: these few rows are sorted by class alone.
+    # Equal texts are one witness. By class, the texts that begin within class_bytes: these few rows are sorted by class alone.
     order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    texts = written(texts.withColumn("ahead", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0))).where(F.col("ahead") < class_bytes).select("text", "y", "fit"))
+    texts = written(texts.withColumn("ahead", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0))).where(F.col("ahead") < class_bytes).groupBy("text", "y").agg(F.max("fit").alias("fit")))
     counted = texts.where("fit").select("text", "y")
     sums = F.sum("t").alias("t"), F.sum("o").alias("o")
     # What comes to the driver is bounded by class_bytes.
     every_pair = written(counted.mapInPandas(_count_pairs, "v bigint, w bigint, t bigint, o bigint").groupBy("v", "w").agg(*sums))
-    pairs = every_pair.where(F.greatest("t", "o") > chance**2 / 3).toArrow()
+    pairs = every_pair.where(F.greatest("t", "o") > min(chances) ** 2 / 3).toArrow()
     firsts = every_pair.groupBy("v").agg(*sums).toArrow()
     rows = every_pair.groupBy(F.least("t", F.lit(5)).alias("t"), F.least("o", F.lit(5)).alias("o")).agg(F.count("*").alias("n")).collect()  # 36 rows at most
     met = {c: np.array([sum(r["n"] for r in rows if r[c] == k) for k in range(6)]) for c in "to"}
@@ -331,14 +336,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     if not column(words, "t").any() or not column(words, "o").any() or kept["y"].nunique() < 2:
         return _flat(sizes[1] / (sizes[0] + sizes[1]))
     by_class = lambda table: {c: column(table, c) for c in "to"}
-    model = build(column(words, "w"), by_class(words), column(pairs, "v"), column(pairs, "w"), by_class(pairs), column(words, "n"), everywhere.agg(F.sum("n")).first()[0], chance, (column(firsts, "v"), by_class(firsts)), met)
+    occurrences = everywhere.agg(F.sum("n")).first()[0]
+    models = [build(column(words, "w"), by_class(words), column(pairs, "v"), column(pairs, "w"), by_class(pairs), column(words, "n"), occurrences, chance, (column(firsts, "v"), by_class(firsts)), met) for chance in chances]
     discard(everywhere)
     del pairs, words, firsts
     toxic = kept["y"].to_numpy(np.float64)
     share = {y: n / (kept["y"] == y).sum() for y, n in sizes.items()}
     weight = np.where(toxic == 1, share[1], share[0])
-    calibrate(model, model.evidence(list(kept["text"])), toxic, weight / weight.mean())
-    return model
+    losses = [calibrate(m, m.evidence(list(kept["text"])), toxic, weight / weight.mean()) for m in models]
+    return models[int(np.argmin(losses))]
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
