@@ -35,7 +35,9 @@ pair takes 16 bytes, and every two bytes of text make one at most). Within the
 sample nothing is cut: every word and pair of it counts. Pairs that at most
 z**2 / 3 documents of either class hold are discounted whole, so that their
 likelihood is that of the backoff; they stay in Spark, which sums them, and only
-the others come to the driver. The shared counts cover all documents, and
+the others come to the driver. From the model that is broadcast, words and pairs
+are left out that are discounted whole for both classes: what isn't in it has
+just the likelihoods that they have. The shared counts cover all documents, and
 scoring every word of every text.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters, known
@@ -205,7 +207,7 @@ def _discounted(n: np.ndarray, both: np.ndarray, share: np.ndarray | float, chan
 def build(words: np.ndarray, word_counts: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray, pair_counts: dict[str, np.ndarray], shared_counts: np.ndarray, occurrences: int, chance: float = CHANCE, sums_of: tuple[np.ndarray, dict[str, np.ndarray]] | None = None, met: dict[str, np.ndarray] | None = None) -> Model:
     """sums_of (first words and their sums by class) and met (spectra by class) are of all pairs, where those that chance explains whole are left out of the others.
 
-    words: sorted, all that are in the pairs but START. Counts by class (t, o) of documents; shared_counts: of all documents, by word; occurrences: their sum over all words, these or not."""
+    words: all that are in the pairs but START. Counts by class (t, o) of documents; shared_counts: of all documents, by word; occurrences: their sum over all words, these or not."""
     words = np.append(words, START) if START not in words else words
     order = np.argsort(words)
     words = words[order]
@@ -222,18 +224,23 @@ def build(words: np.ndarray, word_counts: dict[str, np.ndarray], first: np.ndarr
     met = met or {c: spectrum(pairs[c][pairs[c] > 0]) for c in "to"}
     every = np.maximum(after["t"] + after["o"], 1)
     log, other, pair_log, held_log = {}, {}, {}, {}
+    # Words and pairs of which one class's count is more than its discount. Any other has the likelihood of what is unknown and needs no place in the model.
+    said, linked = words == START, np.zeros(len(v), bool)
     for c in "to":
         d = _discounted(n[c], n["t"] + n["o"], sums[c] / (sums["t"] + sums["o"]), chance, spectrum(n[c][n[c] > 0]))
         other[c] = d.sum() / sums[c]
+        said |= n[c] > d
         back = (n[c] - d) / sums[c] + other[c] * shared
         d = _discounted(pairs[c], pairs["t"] + pairs["o"], (after[c] / every)[v], chance, met[c])
+        linked |= pairs[c] > d
         held = np.where(after[c] > 0, (after[c] - np.bincount(v, pairs[c] - d, len(words))) / np.maximum(after[c], 1), 1.0)
         pair_log[c] = np.log((pairs[c] - d) / np.maximum(after[c][v], 1) + held[v] * back[w])
         log[c], held_log[c] = np.log(back), np.log(held)
-    keys = pair_keys(first, second)
+    said[v[linked]] = True
+    keys = pair_keys(first[linked], second[linked])
     order = np.argsort(keys)
-    gains = lambda x: x["t"] - x["o"]
-    return Model(words, gains(held_log), gains(log), math.log(other["t"] / other["o"]), keys[order], gains(pair_log)[order])
+    gains = lambda x, some: (x["t"] - x["o"])[some]
+    return Model(words[said], gains(held_log, said), gains(log, said), math.log(other["t"] / other["o"]), keys[order], gains(pair_log, linked)[order])
 
 
 def calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
@@ -327,11 +334,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     rows = every_pair.groupBy(F.least("t", F.lit(5)).alias("t"), F.least("o", F.lit(5)).alias("o")).agg(F.count("*").alias("n")).collect()  # 36 rows at most
     met = {c: np.array([sum(r["n"] for r in rows if r[c] == k) for k in range(6)]) for c in "to"}
     discard(every_pair)
-    of_class = counted.mapInPandas(_count_class_words, "w bigint, t bigint, o bigint").groupBy("w").agg(*sums)
+    of_class = counted.mapInPandas(_count_class_words, "w bigint, t bigint, o bigint")
     kept = texts.where("not fit").toPandas()
-    # Every document's words; only those of the sample come back, a row each.
-    everywhere = written(docs.select(F.col(text_col).alias("text")).mapInPandas(_count_words, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
-    words = F.broadcast(of_class).join(everywhere, "w").orderBy("w").toArrow()
+    # Every document's words, summed together with those of the classes; only words of the sample come back, a row each.
+    none = F.lit(0).cast("long")
+    everywhere = docs.select(F.col(text_col).alias("text")).mapInPandas(_count_words, "w bigint, n bigint").select("w", "n", none.alias("t"), none.alias("o"))
+    everywhere = written(everywhere.union(of_class.select("w", none.alias("n"), "t", "o")).groupBy("w").agg(F.sum("n").alias("n"), *sums), texts)
+    words = everywhere.where("t > 0 or o > 0").toArrow()
     column = lambda table, c: table.column(c).to_numpy()
     if not column(words, "t").any() or not column(words, "o").any() or kept["y"].nunique() < 2:
         return _flat(sizes[1] / (sizes[0] + sizes[1]))
