@@ -452,3 +452,23 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     taken, whole = sum(len(r.text.split()) for r in out), sum(len(t.split()) for _, t in left)
     assert abs(taken - 1.5 * whole) <= 100
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_spans_of_repetitive_texts_agree_with_all_windows():
+    rng = np.random.default_rng(3)
+    for kinds in (2, 6, 40):
+        for _ in range(30):
+            a, b = (rng.integers(0, kinds, rng.integers(8, 40)).astype("<u4") for _ in range(2))
+            if kinds == 40:
+                b = np.concatenate((b[:5], a[3:]))
+            found = passages.verified_span(a, b, 8, 0.8)
+            if found:
+                one, two = set(a[found[0] : found[0] + 8].tolist()), set(b[found[1] : found[1] + 8].tolist())
+                assert found[2] == pytest.approx(len(one & two) / len(one | two)) and found[2] >= 0.8
+            x, y = (np.random.default_rng(kinds).integers(0, kinds, 30) for _ in range(2))
+            many = passages._different(np.concatenate((x, y)), np.concatenate((np.arange(30),) * 2), 8, 23)
+            assert many.tolist() == [len(set(x[i : i + 8]) | set(y[i : i + 8])) for i in range(23)]
+    same = np.zeros(3000, "<u4")
+    other = np.arange(3000, dtype="<u4")
+    assert passages.verified_span(same, other, 8, 0.8) is None
+    assert passages.verified_span(other, other[100:], 8, 0.8)[2] == 1.0
