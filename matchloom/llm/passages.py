@@ -25,17 +25,23 @@ for every hash, near ones for most.
    shingles of `least` or more. What was verified joins classes; where a key's
    holders are not of one class yet, the next round has another order of the
    ids, so that documents that share only a part of a passage don't stay in the
-   way: `ROUNDS` in all.
-5. Classes are the connected components of the links.
+   way: `ROUNDS` at most, and none after one that found nothing.
+5. What is still divided then is settled by a prefix filter, which loses nothing.
+   All places are judged that may begin a passage with `enough` divided keys. In
+   one order for all documents, those shingles first that fewer of them have, two
+   passages as alike as `least` share one of the first few of each (for 46
+   different ones, of the first six): the others would be too many to differ.
+   Documents of different classes that share such a shingle are verified around
+   it; of those whose surroundings of it are equal, one meets the others.
+6. Classes are the connected components of the links.
 
 No texts move after step 1: runs send the hashes of the shingles in shared
 windows, 4 bytes each. No step has all pairs of a key's holders.
 
-Equal passages of 57 words or more are found for certain. Near and shorter ones
-can be missed, if under all but one hash their keys differ (for the min-hashes
-alone, a chance of 0.0016 at a similarity of 0.8 and 6 hashes), or if none of
-the roots that they meet is near enough to them; see the README for the recall
-that was measured.
+Equal passages of 50 words or more are found for certain, and so are near ones
+whose keys agree under `enough` hashes. Others can be missed (for the min-hashes
+alone, a chance of 0.0016 at a similarity of 0.8 and 6 hashes); see the README
+for the recall that was measured.
 
 Defined results: null and empty texts, and those of fewer than `words` words,
 have no passages and are classes of their own; repeated rows count once per id;
@@ -63,7 +69,7 @@ WORDS, SHINGLE, LEAST, FUNCTIONS, ENOUGH = 50, 5, 0.8, 6, 2
 #: Shingles on each side of a node that its keys look at.
 SIDE = 16
 RUN_BYTES = 6 << 20
-#: Orders of the ids by which keys get their roots, one after the other.
+#: Orders of the ids by which keys get their roots, one after the other, before the rest is settled by shingles.
 ROUNDS = 3
 #: Of so many neighbouring equal windows, one at least is looked at.
 EVERY = 8
@@ -452,6 +458,129 @@ def _verify(batches: Iterable[pd.DataFrame], width: int, least: float) -> Iterat
         yield pd.DataFrame(out, columns=["a", "b", "a_word", "b_word", "similarity"])
 
 
+def _cover(batches: Iterable[pd.DataFrame], width: int, enough: int) -> Iterator[pd.DataFrame]:
+    """(id, class, first, starts, blob): the shingles from `first` on, and a bit for each, whether `width` from there hold nodes of `enough` functions."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            low, more, function = r.spots >> 32, r.spots >> 16 & 0xFFFF, r.spots & 0xFFFF
+            low = low - r.first
+            n = len(r.blob) // 4
+            many = np.zeros(n, np.int64)
+            for j in np.unique(function):
+                one = function == j
+                many += np.cumsum(np.bincount(low[one], minlength=n + 1) - np.bincount(low[one] + more[one] + 1, minlength=n + 1))[:n] > 0
+            at = np.flatnonzero(many >= enough)
+            if len(at):
+                a, b = int(at[0]), int(at[-1]) + width
+                out.append((r.id, r[1], r.first + a, np.packbits(many[a:b] >= enough).tobytes(), r.blob[4 * a : 4 * b]))
+        yield pd.DataFrame(out, columns=["id", "class", "first", "starts", "blob"])
+
+
+def _covered(blob: bytes, starts: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles as numbers, the places where passages may begin, and whether each shingle lies in one."""
+    hashes = np.frombuffer(blob, "<u4").astype(np.int64)
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(starts, np.uint8), count=len(hashes)))
+    inside = np.cumsum(np.bincount(at, minlength=len(hashes) + 1) - np.bincount(at + width, minlength=len(hashes) + 1))[: len(hashes)] > 0
+    return hashes, at, inside
+
+
+def _shingles(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """(shingle, id, class): what may lie in a passage, once for each document."""
+    for pdf in batches:
+        sets = []
+        for r in pdf.itertuples(index=False):
+            hashes, _, inside = _covered(r.blob, r.starts, width)
+            sets.append(np.unique(hashes[inside]))
+        sizes = [len(x) for x in sets]
+        yield pd.DataFrame({"shingle": np.concatenate([np.empty(0, np.int64), *sets]), "id": np.repeat(pdf["id"].to_numpy(np.int64), sizes), "class": np.repeat(pdf["class"].to_numpy(np.int64), sizes)})
+
+
+#: Marks of a place's shingle: among the first of some passage at all, if the other has no fewer shingles, and that with repeats in its own.
+_WEAK, _STRONG, _THIN = 1, 2, 4
+
+
+def first_shingles(hashes: np.ndarray, starts: np.ndarray, ranked: np.ndarray, width: int, least: float, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(place, marks) of shared shingles that come first in the windows of `width` that begin at `starts`.
+
+    ranked: documents that have a shingle, times 2^32, and the shingle, for those that other classes have. They come last in this order. Windows of s and t
+    different shingles, s no more than t, that are as alike as `least` have ceil(least * s') or more in common, with s' = t, and ceil(2 * least / (1 + least) * s)
+    or more. All that comes before the first common one stands in one of the two only.
+    """
+    by = np.sort(ranked & 0xFFFFFFFF)
+    order = ranked[np.argsort(ranked & 0xFFFFFFFF, kind="stable")]
+    nth = np.minimum(np.searchsorted(by, hashes), len(by) - 1)
+    hit = by[nth] == hashes
+    code = np.where(hit, order[nth], -1 - hashes)
+    # Windows that have enough shared ones to be like any other.
+    n = len(hashes) - width + 1
+    number = np.unique(code, return_inverse=True)[1].astype(np.int64)
+    size, own = _different(number, np.arange(len(code)), width, n), _different(number[~hit], np.flatnonzero(~hit), width, n)
+    need = lambda s, share: np.ceil(s * share - 1e-9).astype(np.int64)
+    starts = starts[(size - own >= need(size, least))[starts]]
+    marks = np.zeros(len(hashes), np.int64)
+    for begin in range(0, len(starts), most):
+        some = starts[begin : begin + most]
+        window = np.lib.stride_tricks.sliding_window_view(code, width)[some]
+        where = np.argsort(window, axis=1, kind="stable")
+        values = np.take_along_axis(window, where, 1)
+        new = np.ones(values.shape, bool)
+        new[:, 1:] = values[:, 1:] != values[:, :-1]
+        rank, s = np.cumsum(new, axis=1), size[some][:, None]
+        weak = new & (values >= 0) & (rank <= s - need(s, least) + 1)
+        strong = weak & (rank <= s - need(s, 2 * least / (1 + least)) + 1)
+        row, column = np.nonzero(weak)
+        mark = _WEAK + _STRONG * strong + _THIN * (strong & (s < width))
+        np.bitwise_or.at(marks, some[row] + where[row, column], mark[row, column])
+    place = np.flatnonzero(marks)
+    return place, marks[place]
+
+
+def _prefixes(batches: Iterable[pd.DataFrame], width: int, least: float) -> Iterator[pd.DataFrame]:
+    """(shingle, around, id, class, place, low, high, marks): see first_shingles; around: a digest of all shingles that a passage with the place may have."""
+    factors = _mixed(np.arange(2 * width - 1, dtype=np.uint64), 7) | np.uint64(1)
+    names = ["shingle", "around", "id", "class", "place", "low", "high", "marks"]
+    for pdf in batches:
+        out = [np.empty((0, len(names)), np.int64)]
+        for r in pdf.itertuples(index=False):
+            hashes, starts, _ = _covered(r.blob, r.starts, width)
+            place, marks = first_shingles(hashes, starts, np.asarray(r.ranked, np.int64), width, least)
+            if len(place):
+                # What lies beyond the ends differs from any shingle.
+                padded = np.concatenate((np.zeros(width - 1, np.uint64), hashes.astype(np.uint64) + np.uint64(1), np.zeros(width - 1, np.uint64)))
+                views = np.lib.stride_tricks.sliding_window_view(padded, 2 * width - 1)
+                around = np.concatenate([_mixed((views[place[i : i + 4096]] * factors).sum(axis=1, dtype=np.uint64), 8) for i in range(0, len(place), 4096)])
+                low, high = np.maximum(place - width + 1, 0), np.minimum(place + width - 1, len(hashes) - 1)
+                same = np.ones(len(place), np.int64)
+                out.append(np.column_stack((hashes[place], around.view(np.int64), same * r.id, same * r[1], place + r.first, low + r.first, high + r.first, marks)))
+        yield pd.DataFrame(np.concatenate(out), columns=names)
+
+
+def _rest(held: DataFrame, blobs: DataFrame, width: int, least: float, enough: int) -> DataFrame:
+    """Pairs as _candidates has them: of the holders of divided keys, all of different classes that may have passages in common."""
+    low = F.greatest(F.col("first"), F.col("node") - (width - 1))
+    more = F.least(F.col("node"), F.col("last") - (width - 1)) - low
+    spot = F.shiftleft(low.cast("long"), 32) + F.shiftleft(more.cast("long"), 16) + F.col("function")
+    spots = held.groupBy("id").agg(F.min("class").alias("class"), F.collect_set(spot).alias("spots"))
+    covers = spots.join(blobs, "id").select("id", "class", "first", "spots", "blob")
+    covers = written(covers.mapInPandas(lambda x: _cover(x, width, enough), "id bigint, class bigint, first int, starts binary, blob binary"))
+    has = covers.mapInPandas(lambda x: _shingles(x, width), "shingle bigint, id bigint, class bigint")
+    shared = has.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("x < y")
+    ranked = has.join(shared, "shingle").groupBy("id").agg(F.collect_list(F.shiftleft("n", 32) + F.col("shingle")).alias("ranked"))
+    schema = "shingle bigint, around bigint, id bigint, class bigint, place bigint, low bigint, high bigint, marks bigint"
+    met = written(covers.join(ranked, "id").mapInPandas(lambda x: _prefixes(x, width, least), schema), covers)
+    whom = F.struct("id", "class", "place", "low", "high")
+    same = met.groupBy("shingle", "around").agg(F.min(whom).alias("r"), F.bit_or("marks").alias("marks"), F.min("class").alias("x"), F.max("class").alias("y"))
+    one = same.select("shingle", "r", "marks")
+    pairs = met.withColumn("p", whom).select("shingle", "around", "p").join(same.where("x < y").select("shingle", "around", "r"), ["shingle", "around"]).select("p", "r")
+    other = one.select("shingle", F.col("r").alias("p"), F.col("marks").alias("p_marks"))
+    both = F.col("marks").bitwiseAND(F.col("p_marks")).bitwiseAND(_STRONG) != 0
+    thin = F.col("marks").bitwiseOR(F.col("p_marks")).bitwiseAND(_THIN) != 0
+    pairs = pairs.where("p.class <> r.class").union(other.join(one, "shingle").where("p.class > r.class").where(both | thin).select("p", "r"))
+    edges = F.min("p.low").alias("a_first"), F.max("p.high").alias("a_last"), F.min("r.low").alias("b_first"), F.max("r.high").alias("b_last")
+    return pairs.groupBy(F.col("p.id").alias("a"), F.col("r.id").alias("b")).agg(*edges, F.min(F.col("p.place") - F.col("r.place")).alias("diagonal"))
+
+
 def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, shingle: int = SHINGLE, least: float = LEAST, functions: int = FUNCTIONS, enough: int = ENOUGH, run_bytes: int = RUN_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """(a, b, a_word, b_word, similarity): links, with the words at which `words` alike ones begin in each; of whole copies, where they begin."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -474,6 +603,13 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blobs = found.where("function = -2").select("id", "first", "blob")
     held = found.where("function >= 0").select("key", "id", "function", "first", "last", F.col("more").alias("node"))
     held = written(_divided(_in_class(held, classes)))
+    piece = lambda c: F.substring("blob", ((F.col(f"{c}_first") - F.col("first")) * 4 + 1).cast("int"), ((F.col(f"{c}_last") - F.col(f"{c}_first") + 1) * 4).cast("int")).alias(f"{c}_blob")
+
+    def alike(now: DataFrame) -> DataFrame:
+        both = now.join(blobs.withColumnRenamed("id", "a"), "a").select(*now.columns, piece("a"))
+        both = both.join(blobs.withColumnRenamed("id", "b"), "b").select("a", "b", "a_first", "b_first", "diagonal", "a_blob", piece("b"))
+        return written(both.mapInPandas(lambda batches: _verify(batches, width, least), schema))
+
     tried = None
     for n in range(rounds):
         if held.isEmpty():
@@ -483,16 +619,17 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             now = now.join(tried.select("a", "b").union(tried.select("b", "a")), ["a", "b"], "left_anti")
         now = written(now)
         tried = now if tried is None else tried.unionByName(now)
-        piece = lambda c: F.substring("blob", (F.col(f"{c}_first") - F.col("first")) * 4 + 1, (F.col(f"{c}_last") - F.col(f"{c}_first") + 1) * 4).alias(f"{c}_blob")
-        both = now.join(blobs.withColumnRenamed("id", "a"), "a").select(*now.columns, piece("a"))
-        both = both.join(blobs.withColumnRenamed("id", "b"), "b").select("a", "b", "a_first", "b_first", "diagonal", "a_blob", piece("b"))
-        links.append(written(both.mapInPandas(lambda batches: _verify(batches, width, least), schema)))
-        if n + 1 < rounds and not links[-1].isEmpty():
-            every = links[1]
-            for more in links[2:]:
-                every = every.union(more)
-            classes = connected_components(every.select("a", "b"))
-            held = written(_divided(_in_class(held, classes)), held)
+        links.append(alike(now))
+        if links[-1].isEmpty():
+            break
+        every = links[1]
+        for more in links[2:]:
+            every = every.union(more)
+        classes = connected_components(every.select("a", "b"))
+        held = written(_divided(_in_class(held, classes)), held)
+    # Holders of divided keys that met no root like them, and pairs that were tried elsewhere only.
+    if not held.isEmpty():
+        links.append(alike(written(_rest(held, blobs, width, least, enough))))
     out = links[0]
     for more in links[1:]:
         out = out.union(more)

@@ -244,6 +244,41 @@ def test_passages_between_pieces_of_themselves(spark):
     assert got == {i: i for i in range(pieces)} | {pieces + k: pieces + k - k % 2 for k in range(120)}
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_passages_behind_many_holders_of_their_keys(spark, near):
+    # 16 pairs that share 50 words, or 56 but for one. 18 lower ids have 40 words of each, so that all keys have more holders than there are rounds of roots.
+    rnd = random.Random(10)
+    words = lambda n: [f"w{rnd.randrange(500000)}" for _ in range(n)]
+    passages_ = [words(56 if near else 50) for _ in range(16)]
+    texts = [words(25) + p[begin : begin + 40] + words(25) for p in passages_ for begin in ((0, 8, 16) if near else (0, 5, 10)) for _ in range(6)]
+    lower = len(texts)
+    texts += [words(25) + (p[:28] + ["changed"] + p[29:] if near and k else p) + words(25) for p in passages_ for k in (0, 1)]
+    got = {r.doc_id: r.class_id for r in passages.report(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i for i in range(lower)} | {lower + k: lower + k - k % 2 for k in range(32)}
+
+
+def test_first_shingles_lose_no_similar_pair():
+    # Any two windows that are alike share a place that both mark, in one order of all shingles.
+    rnd = np.random.default_rng(11)
+    width, least, links = 10, 0.8, 0
+    for _ in range(60):
+        x = rnd.integers(0, rnd.choice([8, 30, 200]), 24)
+        y = np.concatenate((rnd.integers(0, 200, 6), x[4:20], rnd.integers(0, 200, 6)))
+        for place in rnd.integers(0, len(y), 2):
+            y[place] = rnd.integers(0, 200)
+        ranked = np.array([int(rnd.integers(2, 9)) << 32 | int(v) for v in np.intersect1d(x, y)], np.int64)
+        if not len(ranked):
+            continue
+        for i in range(len(x) - width + 1):
+            for j in range(len(y) - width + 1):
+                p, q = set(x[i : i + width].tolist()), set(y[j : j + width].tolist())
+                if len(p & q) >= least * len(p | q):
+                    links += 1
+                    one, two = ({int(h[at]): int(m) for at, m in zip(*passages.first_shingles(h, np.array([k]), ranked, width, least), strict=True)} for h, k in ((x, i), (y, j)))
+                    assert any(one[s] & two[s] & 2 or (one[s] | two[s]) & 4 for s in one.keys() & two.keys())
+    assert links > 100
+
+
 def brute_passages(texts, words=50, shingle=5, least=0.8):
     """Links by their definition, along each diagonal and those near it."""
     sets = [t.split() for t in texts]
