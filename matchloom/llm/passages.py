@@ -58,7 +58,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import written
@@ -135,26 +135,40 @@ def compact_windows(hashes: np.ndarray, width: int, owner: np.ndarray | None = N
     starts = np.flatnonzero(owner[: len(owner) - span] == owner[span:])
     at = (_least(keys, width)[starts] & _LOW).astype(np.int64)
     at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+    if not len(at):
+        return (at,) * 3
     whose = owner[at]
-    low = np.searchsorted(owner, whose)
-    high = np.searchsorted(owner, whose, side="right") - shingle
-    first, last, open_, of = low.tolist(), high.tolist(), [], -1
-    places, value = at.tolist(), keys[at].tolist()
-    for i, o in enumerate(whose.tolist()):
-        if o != of:
-            open_, of = [], o
-        v, place = value[i], places[i]
-        while open_ and value[open_[-1]] > v:
-            last[open_.pop()] = place - 1
-        if open_:
-            first[i] = places[open_[-1]] + 1
-        open_.append(i)
-    return at, np.array(first, np.int64), np.array(last, np.int64)
-
-
-def keys_of(texts: list[str | None], width: int, shingle: int, functions: int) -> tuple[np.ndarray, ...]:
-    """(key, text's number, function, first, last, node, digests): a row for each side of each window that has one; places from the text's start."""
-    hashes, owner, digest = shingles_of(texts, shingle)
+    new = np.concatenate(([True], whose[1:] != whose[:-1]))
+    low = np.searchsorted(owner, whose[new])
+    high = np.searchsorted(owner, whose[new], side="right") - shingle
+    # Zeros, which are no higher than any node, stand around each owner's nodes.
+    to = np.arange(len(at)) + np.cumsum(new)
+    value = np.zeros(to[-1] + 2, np.uint64)
+    value[to] = keys[at]
+    before, after = np.empty((2, len(value)), np.int64)
+    before[to] = after[to] = at
+    edge = np.append(to[new] - 1, len(value) - 1)
+    before[edge[:-1]], after[edge[1:]] = low - 1, high + 1
+    left, right = _lower(value, to, int(np.diff(edge).max()))
+    return at, before[left] + 1, after[right] - 1
+
+
+def _lower(value: np.ndarray, to: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the nearest values no higher than those at `to` stand on each side, less than `most` + 1 places away: steps of halving length over what is higher."""
+    least = [value]
+    while 1 << len(least) <= most:
+        span = 1 << len(least) - 1
+        least.append(np.concatenate((least[-1][:span], np.minimum(least[-1][span:], least[-1][:-span]))))
+    own, left, right = value[to], to - 1, to + 1
+    for k in range(len(least) - 1, -1, -1):
+        left = left - ((least[k][left] > own).astype(np.int64) << k)
+        right = right + ((least[k][np.minimum(right + (1 << k) - 1, len(value) - 1)] > own).astype(np.int64) << k)
+    return left, right
+
+
+def keys_of(texts: list[str | None], width: int, shingle: int, functions: int, made: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+    """(key, text's number, function, first, last, node, digests): a row for each side of each window that has one; places from the text's start. made: their shingles_of."""
+    hashes, owner, digest = made or shingles_of(texts, shingle)
     out = [(np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 5)]
     if len(hashes) >= width:
         near, span = _least(_mixed(hashes, 1000), SIDE), SIDE + shingle - 2
@@ -267,20 +281,20 @@ def _equal_windows(hashes: np.ndarray, place: np.ndarray, covered: np.ndarray, w
 def _send(pdf: pd.DataFrame, answers: pd.DataFrame, width: int, shingle: int, functions: int, size: int) -> pa.Table:
     """The run's holders of shared keys (function 0 and on), of equal windows (-1), and the shingles of its documents that hold any (-2: `first` to `last`).
 
-    more: a holder's node, a document's digest.
+    more: a holder's node, a document's digest. Sorted by function.
     """
     ids, texts = _texts(pdf, width + shingle - 1)
     shared = np.sort(np.concatenate([np.empty(0, np.uint64), *(_unpacked(b, size) for b in answers["blob"])]))
     rows, blobs = [(np.empty(0, np.int64),) * 6], []
     for begin, some in _chunks(texts) if len(shared) else ():
-        key, owner, function, first, last, node, digests = keys_of(some, width, shingle, functions)
+        hashes, place, _ = made = shingles_of(some, shingle)
+        key, owner, function, first, last, node, digests = keys_of(some, width, shingle, functions, made)
         full = _cut(key, size)
         keep = shared[np.minimum(np.searchsorted(shared, full), len(shared) - 1)] == full
         if not keep.any():
             continue
         key, owner, function, first, last, node = (x[keep] for x in (full, owner, function, first, last, node))
         rows.append((key.view(np.int64), ids[begin + owner], function, first, last, node))
-        hashes, place, _ = shingles_of(some, shingle)
         start = np.searchsorted(place, np.arange(len(some)))
         # Equal passages lie in windows that the first hash shares.
         one = function == 0
@@ -295,10 +309,12 @@ def _send(pdf: pd.DataFrame, answers: pd.DataFrame, width: int, shingle: int, fu
         np.maximum.at(b, owner, last)
         rows.append((np.zeros(len(docs), np.int64), ids[begin + docs], np.full(len(docs), -2), a[docs], b[docs], digests[docs]))
         half = (hashes >> np.uint64(32)).astype("<u4")
-        blobs += [(sum(len(r[0]) for r in rows) - len(docs) + i, half[start[d] + a[d] : start[d] + b[d] + 1].tobytes()) for i, d in enumerate(docs.tolist())]
+        blobs += [half[start[d] + a[d] : start[d] + b[d] + 1].tobytes() for d in docs.tolist()]
     columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
-    pieces = dict(blobs)
-    return pa.table([*(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)), pa.array([pieces.get(i) for i in range(len(columns[0]))], pa.binary())], names=_NAMES)
+    # Each kind of rows by itself, so that those who read one skip the pages of the others.
+    order = np.argsort(columns[2], kind="stable")
+    pieces = blobs + [None] * (len(order) - len(blobs))
+    return pa.table([*(pa.array(c[order], t) for c, t in zip(columns, _TYPES, strict=True)), pa.array(pieces, pa.binary())], names=_NAMES)
 
 
 _NAMES = ["key", "id", "function", "first", "last", "more", "blob"]
@@ -596,8 +612,8 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found.join(copies.select("id"), "id", "left_anti")
     # Equal windows: their holders go to the least of them.
     equal = found.where("function = -1").select("key", "id", "first")
-    least_of = equal.groupBy("key").agg(F.min(F.struct("id", "first")).alias("r")).select("key", F.col("r.id").alias("b"), F.col("r.first").alias("b_first"))
-    pairs = equal.join(least_of, "key").where("id > b").groupBy("id", "b").agg(F.min(F.struct("first", "b_first")).alias("w")).select("id", "b", "w.first", "w.b_first")
+    least_of = equal.select("id", "first", F.min(F.struct("id", "first")).over(Window.partitionBy("key")).alias("r"))
+    pairs = least_of.select("id", "first", F.col("r.id").alias("b"), F.col("r.first").alias("b_first")).where("id > b").groupBy("id", "b").agg(F.min(F.struct("first", "b_first")).alias("w")).select("id", "b", "w.first", "w.b_first")
     links.append(written(link(pairs, "first", "b_first")))
     classes = connected_components(links[1].select("a", "b"))
     blobs = found.where("function = -2").select("id", "first", "blob")

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import sys
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -323,6 +325,38 @@ def test_an_id_with_several_texts_is_one_document(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_windows_end_at_the_nearest_lower_nodes_without_a_loop():
+    rng = np.random.default_rng(3)
+    hashes, owner = rng.integers(0, 1 << 31, 20000).astype(np.uint64) << np.uint64(32), np.sort(rng.integers(0, 9, 20004))
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        node, first, last = passages.compact_windows(hashes, 10, owner, 5)
+    finally:
+        sys.setprofile(None)
+    assert len(node) > 2000 > len(calls)
+    for i, a, b in list(zip(node, first, last, strict=True))[::7]:
+        low, high = np.searchsorted(owner, owner[i]), np.searchsorted(owner, owner[i], side="right") - 5
+        assert low <= a <= i <= b <= high and hashes[a : b + 1].min() == hashes[i]
+        assert (a == low or hashes[a - 1] < hashes[i]) and (b == high or hashes[b + 1] < hashes[i])
+
+
+def test_a_run_sends_each_kind_of_rows_by_itself_and_shingles_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 20, 40000))) for _ in range(4)]
+    run = pd.DataFrame({"id": range(4), "text": texts, "run": 0})
+    keys = np.unique(passages._run_keys(texts, 46, 5, 2)[0])
+    made = []
+    real = passages.shingles_of
+    monkeypatch.setattr(passages, "shingles_of", lambda some, *rest: made.append(len(some)) or real(some, *rest))
+    rows = passages._send(run, pd.DataFrame({"blob": [passages._packed(keys, 8)]}), 46, 5, 2, 8).to_pandas()
+    assert len(made) > 1 and sum(made) == 4
+    assert rows["function"].is_monotonic_increasing and set(rows["function"]) == {-2, -1, 0, 1}
+    assert list(rows["blob"].notna()) == list(rows["function"] == -2)
+    for r, text in zip(rows[rows["function"] == -2].itertuples(), texts, strict=True):
+        assert (np.frombuffer(r.blob, "<u4") == (real([text])[0] >> np.uint64(32))[r.first : r.last + 1]).all()
+
+
 def test_compact_windows_hold_every_subsequence_once():
     rnd = np.random.default_rng(2)
     for _ in range(20):
