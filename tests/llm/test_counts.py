@@ -1,6 +1,7 @@
 """Decontamination, mixing, sharding, chat and license scans against plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -181,6 +182,26 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.report(docs.limit(0)).count() == 0
 
 
+def test_mixing_solves_its_dual_in_few_jobs(spark):
+    """The driver keeps threads, plans and metrics of every job, however few its rows."""
+    rows = [(i, "w " * (1 + (i * 7919 % 97) ** (1 + i % 3)), "en", (None, "a", "b", "c", "d")[i % 5], 0) for i in range(400)] + [(900 + i, "w " * 9, "en", "rare", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sizes = docs.selectExpr("source", "size(split(trim(text), ' ')) + 0L size", "xxhash64(doc_id, text) h")
+    solved = {r.source: r for r in mixing.plan(sizes).collect()}
+    assert any(r.multiplier is None for r in solved.values()) and sum(r.multiplier is not None for r in solved.values()) >= 3
+    for source, r in solved.items():
+        own = [len(t.split()) for _, t, _, s, _ in rows if s == source]
+        assert r.mean == pytest.approx(sum(own) / len(own)) and r.source_size == sum(own)
+        if r.multiplier is None:
+            assert r.target == 2 * sum(own)
+        else:
+            assert sum(n * 2 / (1 + math.exp(-r.multiplier * n / r.mean)) for n in own) == pytest.approx(r.target, rel=2e-6)
+    done = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000), spark._jsparkSession.sharedState().statusStore().executionsCount())[1]
+    before = done()
+    mixing.mix(docs).count()
+    assert done() - before <= 32
+
+
 def brute_shards(rows, shards, together):
     """(id, size, crc) in shards, each in order: rows sorted by hash of the text, cut by the docstring."""
     signed = lambda t: (h := xxhash.xxh64_intdigest(t, 42)) - (1 << 64 if h >> 63 else 0)
